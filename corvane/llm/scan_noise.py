@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.storage import written
+
 #: Forms rarer than this share of all words count as unknown; bounds the lexicon at 1 / MIN_SHARE forms.
 MIN_SHARE, MIN_COUNT = 1e-6, 2
 #: How many times more frequent the right form must be than its misreading.
@@ -417,10 +419,11 @@ def _continued(rows: DataFrame, lexicon) -> DataFrame:
 
 def find_noise(plans: DataFrame, chunks: DataFrame) -> DataFrame:
     """(item, page_no, line_no, noise): the spoiled lines, distinct."""
-    from corvane.storage import written
-
     items = scan_items(plans, chunks)
-    lexicon = items.sparkSession.sparkContext.broadcast(lexicon_of(items))
+    return _judged(items, items.sparkSession.sparkContext.broadcast(lexicon_of(items)))
+
+
+def _judged(items: DataFrame, lexicon) -> DataFrame:
     rows = written(spoiled(items, lexicon), "noise")
     key = ["item", "page_no", "line_no", "noise"]
     distinct = rows.filter(F.col("noise").isin("header", "bare", "page_number")).distinct()
@@ -435,3 +438,64 @@ def find_noise(plans: DataFrame, chunks: DataFrame) -> DataFrame:
     numbers = bare.join(runs, ["kind", "source", "number"], "left_semi").unionByName(bare.filter("number < 1000").join(alone, ["kind", "source"], "left_semi")).withColumn("noise", F.lit("page_number"))
     sure = rows.filter(F.col("noise").isin("hyphen", "misread", "page_number"))
     return sure.select(*key).unionByName(headers).unionByName(numbers.select(*key)).unionByName(_continued(rows.filter(F.col("noise").isin("first", "pending")), lexicon).select(*key)).distinct()
+
+
+# ---------------------------------------------------------------- repaired text
+
+
+def repaired_line(line: str, lexicon: Lexicon) -> str:
+    """A line with its misread words replaced; capitals at a word's start stay."""
+    def right(m: re.Match) -> str:
+        found = lexicon.right_form(m.group())
+        if not found:
+            return m.group()
+        g = found[0]
+        return g.upper() if m.group().isupper() and len(g) > 1 else g[0].upper() + g[1:] if m.group()[0].isupper() else g
+
+    return " ".join(_PARTS.sub(right, w) if lexicon.suspects({w}) else w for w in line.split())
+
+
+def reflowed(plans: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(kind, source, paragraph, text): the continuous paragraphs of the reports that have spoiled lines.
+
+    Lines lose headers and page numbers, words are repaired and broken words joined. SQL windows number the paragraphs:
+    within each page or chunk over its lines, across them over one row per item; a paragraph that ends without a stop
+    goes on in the next item.
+    """
+    items = scan_items(plans, chunks)
+    lexicon = items.sparkSession.sparkContext.broadcast(lexicon_of(items))
+    noise = written(_judged(items, lexicon), "judged")
+    marks = noise.groupBy("item", "page_no").agg(
+        F.collect_set(F.when(F.col("noise").isin("header", "page_number"), F.col("line_no"))).alias("drop"), F.collect_set(F.when(F.col("noise") == "hyphen", F.col("line_no"))).alias("joins")
+    )
+    # Only reports with spoiled lines are scans; the others' text is left as it is elsewhere.
+    scans = noise.select("item", "page_no").distinct().join(items.select("kind", "source", "item", "page_no").distinct(), ["item", "page_no"]).select("kind", "source").distinct()
+    texts = items.select("kind", "source", "ord", "item", "page_no", "text").join(scans, ["kind", "source"], "left_semi").join(marks, ["item", "page_no"], "left").dropDuplicates(["kind", "source", "ord", "item"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = lexicon.value
+        for df in batches:
+            out = []
+            for kind, source, ord_, item, text, drop, joins in df.itertuples(index=False):
+                gone, cut = set(drop if drop is not None else ()), set(joins if joins is not None else ())
+                for k, line in enumerate((text or "").split("\n"), 1):
+                    if k not in gone:
+                        s = repaired_line(line, lex)
+                        out.append((kind, source, ord_, item, k, s.rstrip(_HYPHENS) if k in cut else s, k in cut))
+            yield pd.DataFrame(out, columns=["kind", "source", "ord", "item", "line_no", "line", "glued"])
+
+    lines = texts.select("kind", "source", "ord", "item", "text", "drop", "joins").mapInPandas(run, "kind string, source string, ord bigint, item string, line_no int, line string, glued boolean")
+    inside = Window.partitionBy("kind", "source", "ord", "item").orderBy("line_no")
+    numbered = lines.withColumn("own", F.sum((F.col("line") == "").cast("int")).over(inside)).filter("line <> ''")
+    # First the paragraphs of each item, by a partial aggregation over its lines.
+    paragraphs = numbered.groupBy("kind", "source", "ord", "item", "own").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "glued"))).alias("l"))
+    text = F.aggregate("l", F.lit(""), lambda a, x: F.concat(a, x["line"], F.when(x["glued"], F.lit("")).otherwise(F.lit(" "))))
+    paragraphs = paragraphs.select("kind", "source", "ord", "item", "own", text.alias("text"))
+    # Then those that go on: one short row per paragraph is ordered, its text isn't needed for that.
+    order = Window.partitionBy("kind", "source").orderBy("ord", "item", "own")
+    ends = paragraphs.select("kind", "source", "ord", "item", "own", F.trim("text").rlike(r"[.!?:|][\"'»”)\]]*$").alias("stops"), F.trim("text").rlike(r"^[\p{Ll}\p{N}(]").alias("low"))
+    before = F.lag(F.struct("stops", "ord", "item")).over(order)
+    starts = ends.withColumn("b", before).withColumn("new", (F.col("b").isNull() | F.col("b.stops") | ((F.col("b.ord") == F.col("ord")) & (F.col("b.item") == F.col("item"))) | ~F.col("low")).cast("int"))
+    where = starts.withColumn("paragraph", F.sum("new").over(order)).select("kind", "source", "ord", "item", "own", "paragraph")
+    joined = paragraphs.join(where, ["kind", "source", "ord", "item", "own"]).groupBy("kind", "source", "paragraph").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "item", "own", "text"))), lambda x: x["text"]), "").alias("text"))
+    return joined.select("kind", "source", F.col("paragraph").cast("int").alias("paragraph"), F.trim("text").alias("text"))
