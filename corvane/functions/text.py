@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed value: every character that separates words, as Unicode has them.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -130,7 +131,7 @@ def normalize_needle(text: str | None) -> str:
     return "".join(re.sub(r"-\s*\n\s*", "", s).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_needle_udf(text: pd.Series) -> pd.Series:
     return text.map(normalize_needle)
 
@@ -150,7 +151,7 @@ def renumber(answer: str | None, mapping: dict[int, int]) -> str | None:
     return _PUNCT.sub(r"\1", re.sub(r"[ \t]{2,}", " ", out)).rstrip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def renumber_udf(answer: pd.Series, mapping: pd.Series) -> pd.Series:
     """mapping: an array whose i-th element is the global number of local marker i, null if there is none."""
     return pd.Series([renumber(a, {i + 1: int(g) for i, g in enumerate(m if m is not None else ()) if g is not None and g == g}) for a, m in zip(answer, mapping)])
