@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,19 +60,46 @@ def schedule_due(ticks: DataFrame, key: str, ts: str, minutes: int) -> DataFrame
     return ticks.groupBy(key).agg(t.alias("t")).select(key, F.explode(runs).alias("us")).select(key, F.timestamp_micros("us").alias(ts))
 
 
+#: Plans up to this many nodes are peeled inside one task; larger ones wave by wave over all tasks.
+SMALL_PLAN = 5000
+
+
 def dag_waves(nodes: DataFrame) -> DataFrame:
     """(run_id, node_id, wave) of (run_id, node_id, depends_on): a node's wave is one after its last dependency's.
 
-    Nodes on or behind a cycle, or with an unknown dependency, have no wave. Every round peels one wave of all runs at
-    once; there are as many rounds as the deepest plan has waves.
+    Nodes on or behind a cycle, or with an unknown dependency, have no wave; no row either. A node named twice has the
+    wave of all its dependencies together.
     """
-    edges = nodes.select("run_id", "node_id", F.explode_outer("depends_on").alias("dep"))
-    done = nodes.filter(F.coalesce(F.size("depends_on"), F.lit(0)) <= 0).select("run_id", "node_id", F.lit(0).alias("wave"))
+    rows = nodes.select("run_id", "node_id", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
+    sizes = rows.groupBy("run_id").agg(F.count("*").alias("n_nodes"))
+    large = sizes.filter(F.col("n_nodes") > SMALL_PLAN).select("run_id")
+    small = rows.join(large, "run_id", "left_anti").select("run_id", "node_id", "depends_on")
+    kind = nodes.schema["run_id"].dataType.simpleString()
+
+    def peel(df: pd.DataFrame) -> pd.DataFrame:
+        deps: dict[str, set] = {}
+        for node, own in zip(df["node_id"], df["depends_on"]):
+            deps.setdefault(node, set()).update(own)
+        waves: dict[str, int] = {}
+        wave = 0
+        while ready := [n for n, own in deps.items() if n not in waves and all(x in waves for x in own)]:
+            waves.update(dict.fromkeys(ready, wave))
+            wave += 1
+        return pd.DataFrame({"run_id": [df["run_id"].iloc[0]] * len(waves), "node_id": list(waves), "wave": list(waves.values())})
+
+    out = small.groupBy("run_id").applyInPandas(peel, f"run_id {kind}, node_id string, wave int")
+    return out if large.isEmpty() else out.unionByName(_waves_of_large(rows.join(large, "run_id", "left_semi").select("run_id", "node_id", "depends_on")))
+
+
+def _waves_of_large(nodes: DataFrame) -> DataFrame:
+    """Every round peels one wave of all runs at once; each wave is written, so a lost executor costs one wave."""
+    edges = nodes.select("run_id", "node_id", F.explode_outer("depends_on").alias("dep")).distinct()
+    done = edges.groupBy("run_id", "node_id").agg(F.count("dep").alias("n")).filter("n = 0").select("run_id", "node_id", F.lit(0).alias("wave"))
     done, wave = written(done, "waves"), 0
     while True:
         left = edges.join(done.select("run_id", "node_id"), ["run_id", "node_id"], "left_anti")
         met = left.join(done.select("run_id", F.col("node_id").alias("dep"), F.lit(1).alias("ok")), ["run_id", "dep"], "left")
-        ready = met.groupBy("run_id", "node_id").agg(F.count_if(F.col("ok").isNull()).alias("open")).filter("open = 0")
+        ready = met.groupBy("run_id", "node_id").agg(F.count_if(F.col("ok").isNull() & F.col("dep").isNotNull()).alias("open")).filter("open = 0")
         wave += 1
         fresh = written(ready.select("run_id", "node_id", F.lit(wave).alias("wave")), "waves")
         if fresh.isEmpty():

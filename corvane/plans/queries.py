@@ -337,7 +337,7 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "hits").select(F.col("seq").alias("query_id"), F.col("hit_rank").alias("rank"), "id", "score", "score_kind", "metadata").distinct()
 
 
-@query("SELECT DISTINCT seq AS query_id, hit_rank AS rank, id, score FROM hits WHERE NOT ((coalesce(score_kind, 'cosine') = 'cosine' AND score < 0.3) OR (score_kind = 'bm25' AND score < 8.0)) AND score IS NOT NULL")
+@query("SELECT DISTINCT seq AS query_id, hit_rank AS rank, id, score FROM hits WHERE NOT ((coalesce(score_kind, 'cosine') = 'cosine' AND score < 0.3) OR (coalesce(score_kind, 'cosine') = 'bm25' AND score < 8.0)) AND score IS NOT NULL")
 def threshold_filter(spark, d):
     return search.threshold(_hits(spark, d), {"cosine": 0.3, "bm25": 8.0}).select("query_id", "rank", "id", "score").filter("score IS NOT NULL").distinct()
 
@@ -403,8 +403,8 @@ def _chunk_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query("""WITH c AS (SELECT DISTINCT id, source, chunk_index, text FROM chunks), h AS (SELECT DISTINCT seq, id FROM hits), x AS (SELECT h.seq AS query_id, h.id, c.source, c.chunk_index FROM h JOIN c USING (id)),
-  w AS (SELECT x.query_id, x.id, x.chunk_index, n.chunk_index AS at, n.text FROM x JOIN c n ON n.source = x.source AND n.chunk_index BETWEEN x.chunk_index - 1 AND x.chunk_index + 1)
-  SELECT query_id, id, string_agg(text, chr(10) || chr(10) ORDER BY at) AS text, min(at)::INT AS first_index, max(at)::INT AS last_index FROM w GROUP BY query_id, id""")
+  w AS (SELECT x.query_id, x.id, x.chunk_index, n.chunk_index AS pos, n.text FROM x JOIN c n ON n.source = x.source AND n.chunk_index BETWEEN x.chunk_index - 1 AND x.chunk_index + 1)
+  SELECT query_id, id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text, min(pos)::INT AS first_index, max(pos)::INT AS last_index FROM w GROUP BY query_id, id""")
 def neighbor_window(spark, d):
     hits, chunks = _chunk_hits(spark, d)
     return search.neighbour_window(hits.select("query_id", "id", "source", "chunk_index").distinct(), chunks, 1)
