@@ -85,7 +85,7 @@ def dag_waves(nodes: DataFrame) -> DataFrame:
         while ready := [n for n, own in deps.items() if n not in waves and all(x in waves for x in own)]:
             waves.update(dict.fromkeys(ready, wave))
             wave += 1
-        return pd.DataFrame({"run_id": [df["run_id"].iloc[0]] * len(waves), "node_id": list(waves), "wave": list(waves.values())})
+        return pd.DataFrame({"run_id": [df["run_id"].iloc[0]] * len(waves), "node_id": list(waves), "wave": list(waves.values())}).astype({"node_id": "object", "wave": "int32", "run_id": df["run_id"].dtype})
 
     out = small.groupBy("run_id").applyInPandas(peel, f"run_id {kind}, node_id string, wave int")
     return out if large.isEmpty() else out.unionByName(_waves_of_large(rows.join(large, "run_id", "left_semi").select("run_id", "node_id", "depends_on")))
