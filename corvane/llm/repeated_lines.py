@@ -51,7 +51,7 @@ def _trie(words: set[str]) -> str:
 _B = r"[^\S\n]"  # blanks within a line
 _MONTH = rf"{_trie(set(_MONTHS))}(?![\p{{L}}\p{{N}}])"
 _DATES = rf"(?<![\p{{L}}\p{{N}}])(?:\d{{1,2}}(?:st|nd|rd|th|er|\.|º)?{_B}*+(?:(?:de|of){_B}++)?{_MONTH}\.?(?:,?{_B}++(?:del?{_B}++)?\d{{2,4}})?|{_MONTH}(?:\.?{_B}++\d{{1,2}}(?:st|nd|rd|th)?(?![\p{{L}}\p{{N}}]))?)"
-_MARKUP = r"&(?:[a-z]{2,8}|#\d{1,7}|#x[0-9a-f]{1,6});|<[^<>\n]{1,200}>|\]\([^)\n]*\)|\\u[0-9a-f]{4}|\\x[0-9a-f]{2}|\\[nrt](?![a-z])|%[0-9a-f]{2}"
+_MARKUP = r"&(?:[a-z]{2,8}|#\d{1,7}|#x[0-9a-f]{1,6});|<[^<>\n]{1,200}>|\]\([^)\n]*\)|\\u[0-9a-f]{4}|\\x[0-9a-f]{2}|\\[nrt](?![a-z])|%[0-9a-f]{2}|\((?:c|r|tm)\)"
 
 
 def line_keys(text: Column) -> Column:

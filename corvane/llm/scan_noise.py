@@ -105,6 +105,7 @@ class Lexicon:
                 self.groups[skeleton(w)].append(w)
         self.known: dict[str, tuple[str, tuple[int, ...]] | None] = {}
         self.fine: set[str] = set()
+        self.contexts: dict[tuple[str, str], int] = {}
 
     def right_form(self, word: str) -> tuple[str, tuple[int, ...]] | None:
         """The form that `word` is a misreading of, and where; None if it is taken as read."""
@@ -127,6 +128,26 @@ class Lexicon:
         self.known[w] = found
         return found
 
+    def candidates(self, word: str) -> list[str]:
+        """The forms of the word's group that it can be a misreading of, the most frequent first."""
+        w = word.lower()
+        found = [g for g in self.groups.get(skeleton(w), ()) if g != w and not _IN_WORD.search(g) and self.counts[g] >= 2 and misreading(w, g) is not None]
+        return sorted(found, key=lambda g: (-self.counts[g], g))
+
+    def rivals(self) -> set[str]:
+        """The forms that share their group with another form that could be meant."""
+        return {w for ws in self.groups.values() if len(ws) > 1 for w in ws if len(w) > 1 and not _IN_WORD.search(w) and self.counts[w] >= self.least}
+
+    def in_context(self, word: str, before: str) -> str | None:
+        """The right form of a misread word: among several the one that most often follows the word before."""
+        best = self.right_form(word)
+        if not best:
+            return None
+        options = self.candidates(word)
+        if len(options) < 2:
+            return best[0]
+        return max(options, key=lambda g: (self.contexts.get((before, g), 0), g == best[0], self.counts[g]))
+
     def suspects(self, tokens: set[str]) -> set[str]:
         """Those of the tokens between blanks that have a misread word."""
         new = tokens - self.fine
@@ -343,7 +364,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     raw.update(_BROKEN.sub(" ", text).split())
             if len(raw) > 300_000:
                 yield flushed()
-        yield flushed()
+        if raw:
+            yield flushed()
 
     return texts.select("text").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -360,6 +382,38 @@ def lexicon_of(texts: DataFrame) -> Lexicon:
     return Lexicon(dict(zip(kept["word"], kept["n"].astype(int))), total)
 
 
+def context_counts(texts: DataFrame, rivals) -> DataFrame:
+    """(before, word, n) for words that share their group with others; counted inside the tasks and summed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = rivals.value
+        pairs: Counter = Counter()
+
+        def flushed() -> pd.DataFrame:
+            out = pd.DataFrame({"before": [a for a, _ in pairs], "word": [b for _, b in pairs], "n": list(pairs.values())})
+            pairs.clear()
+            return out
+
+        for df in batches:
+            for text in df["text"]:
+                words = _PARTS.findall(text.lower()) if text else []
+                pairs.update((a, b) for a, b in zip(words, words[1:]) if b in wanted)
+            if len(pairs) > 300_000:
+                yield flushed()
+        if pairs:
+            yield flushed()
+
+    return texts.select("text").mapInPandas(run, "before string, word string, n bigint").groupBy("before", "word").agg(F.sum("n").alias("n"))
+
+
+def with_contexts(texts: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """The lexicon with the contexts of rival forms that make up at least MIN_SHARE of all words: again at most 1 / MIN_SHARE rows."""
+    rivals = texts.sparkSession.sparkContext.broadcast(lexicon.rivals())
+    rows = context_counts(texts, rivals).filter(F.col("n") >= lexicon.least).toPandas()
+    lexicon.contexts = dict(zip(zip(rows["before"], rows["word"]), rows["n"].astype(int)))
+    return lexicon
+
+
 _FOUND = "kind string, source string, ord bigint, item string, page_no int, line_no int, noise string, number int, word string, mark string"
 
 
@@ -387,7 +441,8 @@ def spoiled(items: DataFrame, lexicon) -> DataFrame:
                     out.append((*at, first[1], "first", None, first[0], None))
                 if pending:
                     out.append((*at, pending[2], "pending", None, pending[0], pending[1]))
-            yield pd.DataFrame(out, columns=["kind", "source", "ord", "item", "page_no", "line_no", "noise", "number", "word", "mark"]).astype({"number": "Int32"})
+            if out:
+                yield pd.DataFrame(out, columns=["kind", "source", "ord", "item", "page_no", "line_no", "noise", "number", "word", "mark"]).astype({"number": "Int32"})
 
     return items.select("kind", "source", "ord", "item", "page_no", "text", "title", "host", "category").mapInPandas(run, _FOUND)
 
@@ -410,7 +465,8 @@ def _continued(rows: DataFrame, lexicon) -> DataFrame:
                     out.append((item, page, line, "hyphen"))
                     for side in broken_misread(cut, word, lex):
                         out.append((item2, page2, line2, "misread") if side else (item, page, line, "misread"))
-            yield pd.DataFrame(out, columns=["item", "page_no", "line_no", "noise"])
+            if out:
+                yield pd.DataFrame(out, columns=["item", "page_no", "line_no", "noise"])
 
     return cuts.select("item", "page_no", "pending.line_no", "pending.word", "pending.mark", F.col("next.item").alias("item2"), F.col("next.page_no").alias("page2"), F.col("next.first.line_no").alias("line2"), F.col("next.first.word").alias("word2")).mapInPandas(
         run, "item string, page_no int, line_no int, noise string"
@@ -444,15 +500,21 @@ def _judged(items: DataFrame, lexicon) -> DataFrame:
 
 
 def repaired_line(line: str, lexicon: Lexicon) -> str:
-    """A line with its misread words replaced; capitals at a word's start stay."""
+    """A line with its misread words replaced; capitals at a word's start stay. Blanks become single."""
+    before = ""
+
     def right(m: re.Match) -> str:
-        found = lexicon.right_form(m.group())
-        if not found:
+        nonlocal before
+        g = lexicon.in_context(m.group(), before)
+        before = (g or m.group()).lower()
+        if not g:
             return m.group()
-        g = found[0]
         return g.upper() if m.group().isupper() and len(g) > 1 else g[0].upper() + g[1:] if m.group()[0].isupper() else g
 
-    return " ".join(_PARTS.sub(right, w) if lexicon.suspects({w}) else w for w in line.split())
+    words = line.split()
+    if not lexicon.suspects(set(words)):
+        return " ".join(words)
+    return " ".join(_PARTS.sub(right, w) for w in words)
 
 
 def reflowed(plans: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -463,7 +525,7 @@ def reflowed(plans: DataFrame, chunks: DataFrame) -> DataFrame:
     goes on in the next item.
     """
     items = scan_items(plans, chunks)
-    lexicon = items.sparkSession.sparkContext.broadcast(lexicon_of(items))
+    lexicon = items.sparkSession.sparkContext.broadcast(with_contexts(items, lexicon_of(items)))
     noise = written(_judged(items, lexicon), "judged")
     marks = noise.groupBy("item", "page_no").agg(
         F.collect_set(F.when(F.col("noise").isin("header", "page_number"), F.col("line_no"))).alias("drop"), F.collect_set(F.when(F.col("noise") == "hyphen", F.col("line_no"))).alias("joins")
@@ -478,11 +540,13 @@ def reflowed(plans: DataFrame, chunks: DataFrame) -> DataFrame:
             out = []
             for kind, source, ord_, item, text, drop, joins in df.itertuples(index=False):
                 gone, cut = set(drop if drop is not None else ()), set(joins if joins is not None else ())
-                for k, line in enumerate((text or "").split("\n"), 1):
-                    if k not in gone:
-                        s = repaired_line(line, lex)
-                        out.append((kind, source, ord_, item, k, s.rstrip(_HYPHENS) if k in cut else s, k in cut))
-            yield pd.DataFrame(out, columns=["kind", "source", "ord", "item", "line_no", "line", "glued"])
+                kept = [(k, repaired_line(line, lex)) for k, line in enumerate((text or "").split("\n"), 1) if k not in gone]
+                for (k, s), (_, after) in zip(kept, [*kept[1:], (0, "")]):
+                    # A compound keeps its hyphen and goes on without a blank.
+                    compound = s[-1:] == "-" and s[-2:-1].isalpha() and after[:1].isalpha() and after.split()[0].lower() not in _CONJUNCTIONS
+                    out.append((kind, source, ord_, item, k, s.rstrip(_HYPHENS) if k in cut else s, k in cut or compound))
+            if out:
+                yield pd.DataFrame(out, columns=["kind", "source", "ord", "item", "line_no", "line", "glued"])
 
     lines = texts.select("kind", "source", "ord", "item", "text", "drop", "joins").mapInPandas(run, "kind string, source string, ord bigint, item string, line_no int, line string, glued boolean")
     inside = Window.partitionBy("kind", "source", "ord", "item").orderBy("line_no")

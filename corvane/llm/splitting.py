@@ -92,7 +92,8 @@ def split_oversized(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
                     start = at - overlap if k else 0
                     rows.append((kind, item, page, k + 1, start, piece))
                     at = start + len(piece)
-            yield pd.DataFrame(rows, columns=["item_type", "item", "page_no", "piece_no", "start", "piece"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["item_type", "item", "page_no", "piece_no", "start", "piece"])
 
     return long.mapInPandas(run, "item_type string, item string, page_no int, piece_no int, start int, piece string").distinct()
 
