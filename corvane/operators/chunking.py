@@ -165,7 +165,8 @@ def ingest_pages(plans: DataFrame, size: int = SIZE, overlap: int = OVERLAP, lea
                         for c in coalesced(markdown_chunks(block, size, overlap), least):
                             rows.append((source, n, page if len(pages) > 1 else None, own, c))
                             n += 1
-            yield pd.DataFrame(rows, columns=["source", "chunk_index", "page", "section", "text"]).astype({"page": "Int32"})
+            if rows:
+                yield pd.DataFrame(rows, columns=["source", "chunk_index", "page", "section", "text"]).astype({"page": "Int32"})
 
     return plans.select("source", "pages").mapInPandas(run, "source string, chunk_index int, page int, section string, text string")
 
@@ -177,7 +178,8 @@ def sections(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = [(k, i, s, b) for k, t in df.itertuples(index=False) for i, (s, b) in enumerate(split_sections(t or ""))]
-            yield pd.DataFrame(rows, columns=[key, "block_no", "section", "block"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "block_no", "section", "block"])
 
     return documents.select(key, text).mapInPandas(run, f"{key} {kind}, block_no int, section string, block string")
 
@@ -189,6 +191,7 @@ def chunk_markdown(documents: DataFrame, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = [(k, i, c) for k, t in df.itertuples(index=False) for i, c in enumerate(markdown_chunks(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "chunk_index", "text"])
 
     return documents.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, text string")
