@@ -50,7 +50,9 @@ _HYPHENS = "-‐‑­¬"
 _CONJUNCTIONS = {"und", "oder", "bzw", "and", "or", "to", "et", "ou", "y", "o", "e", "sowie"}
 _EDGE = ".,;:()[]{}\"'*_#>`«»“”‘’„…?–—¿¡"
 
-_BROKEN = re.compile(rf"\S+[{_HYPHENS}][^\S\n]*\n\s*\S+")
+#: A hyphen at a line's end with the word that follows; what is left of the broken word gets a mark and isn't counted.
+_BROKEN = re.compile(rf"[{_HYPHENS}][^\S\n]*\n\s*\S+")
+_LEFT = "\0"
 _PARTS = re.compile(r"[^\s\-‐‑'’/.,;:()\[\]{}\"…“”«»?–—*_#>`=+&%]+")
 _HAS_WORD = re.compile(r"[^\W\d_]")
 _IN_WORD = re.compile(r"[0-9!|]")
@@ -350,6 +352,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
         def flushed() -> pd.DataFrame:
             words: Counter = Counter()
             for token, n in raw.items():
+                if token[-1] == _LEFT:
+                    continue
                 parts = _PARTS.findall(token)
                 for p in parts:
                     words[p.lower()] += n
@@ -361,7 +365,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for df in batches:
             for text in df["text"]:
                 if text:
-                    raw.update(_BROKEN.sub(" ", text).split())
+                    raw.update(_BROKEN.sub(_LEFT + " ", text).split())
             if len(raw) > 300_000:
                 yield flushed()
         if raw:
