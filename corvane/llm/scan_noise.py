@@ -48,6 +48,8 @@ _STROKES = {
 }
 _HYPHENS = "-‐‑­¬"
 _CONJUNCTIONS = {"und", "oder", "bzw", "and", "or", "to", "et", "ou", "y", "o", "e", "sowie"}
+# Words that no heading ends with, in English, German, French and Spanish.
+_NO_END = frozenset("a an the of in on at to for from by with and or as that which is are was der die das den dem des ein eine einer zu zum zur von vom im am mit und für bei auf le la les l de du des un une et à au aux en pour par sur dans que el los las del al y o con para por un una se su".split())
 _EDGE = ".,;:()[]{}\"'*_#>`«»“”‘’„…?–—¿¡"
 
 #: A hyphen at a line's end with the word that follows; what is left of the broken word gets a mark and isn't counted.
@@ -56,7 +58,6 @@ _LEFT = "\0"
 _PARTS = re.compile(r"[^\s\-‐‑'’/.,;:()\[\]{}\"…“”«»?–—*_#>`=+&%]+")
 _HAS_WORD = re.compile(r"[^\W\d_]")
 _IN_WORD = re.compile(r"[0-9!|]")
-_WORD_CHAR = re.compile(r"[^\W_]")
 
 
 @lru_cache(maxsize=200_000)
@@ -196,7 +197,7 @@ _PAGE_WORDS = {skeleton(w) for w in ("page", "seite", "página", "pagina", "pag"
 _ROMAN = re.compile(r"^[-–(\[]?\s*(?=[ivxlc])(c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))\s*[-–)\]]?$")
 _BARE = re.compile(r"^[0-9lIOoSs]{1,4}$")
 _NUMBER_LINE = re.compile(r"^[\s\d.,()%+\-–]+$")
-_SEPARATORS = re.compile(r"\s*[|–—·•:]\s+|\s+[-–—|·•/]\s+|\s{3,}|\t+|\s+[|–—]\s*$|^\s*[|–—]\s*")
+_SEPARATORS = re.compile(r"\s*\|\s*|\s[–—·•]\s|\s{3,}|\t+")
 _NUMERIC_TOKEN = re.compile(r"^[\-–(\[]*(?=\S*\d)[0-9lIOoSs|!.,/]+[\-–)\]]*$|^[ivxlc]+$")
 
 
@@ -224,51 +225,79 @@ def page_number(line: str) -> tuple[bool, int | None]:
     return False, None
 
 
+def _masked(text: str) -> str:
+    """The skeleton of a text without numbers and punctuation."""
+    return skeleton(re.sub(r"[^\w!|]|_", "", "".join(w for w in text.split() if not _NUMERIC_TOKEN.match(w))))
+
+
 def header_parts(line: str) -> list[str]:
-    """The skeletons of a line's segments without its numbers."""
-    out = []
-    for segment in _SEPARATORS.split(line.strip()):
-        words = [w for w in (segment or "").split() if not _NUMERIC_TOKEN.match(w)]
-        if words:
-            out.append(skeleton("".join(words)))
-    return out
+    """The masked skeletons of a line's segments."""
+    return [m for x in _SEPARATORS.split(line.strip()) if x and (m := _masked(x))]
 
 
 class Report:
     """What a report's header can say."""
 
     def __init__(self, title: str | None, host: str | None, category: str | None):
-        self.title = skeleton("".join((title or "").split()))
+        self.title = _masked(title or "")
         site = re.sub(r"^www\.", "", (host or "").strip().lower()).split(".")[0]
-        self.exact = {skeleton(x) for x in (re.sub(r"[^\w]", "", site), "".join((category or "").split())) if x}
-        self.short = {re.sub(r"\W", "", x) for x in self.exact}
-        self.starts = tuple({x for x in (self.title, *self.exact, *self.short) if x})
+        self.site, self.category = _masked(site), _masked(category or "")
+        self.starts = tuple(x for x in (self.title, self.site, self.category) if x)
         self.begins: dict[str, bool] = {}
 
     def may_begin(self, token: str) -> bool:
         """Whether a header can begin with this token: most lines begin with another word."""
         got = self.begins.get(token)
         if got is None:
-            bare = skeleton(token).rstrip(".,:;")
-            got = self.begins[token] = bool(_NUMERIC_TOKEN.match(token)) or not _WORD_CHAR.search(token) or any(x.startswith(bare) or bare.startswith(x) for x in self.starts)
+            bare = _masked(token)
+            # Without a known site a header may begin with any name.
+            got = self.begins[token] = not bare or (not self.site and token[:1].isupper()) or any(x.startswith(bare) or bare.startswith(x) for x in self.starts)
         return got
 
     def header(self, line: str) -> bool:
+        """Whether a line is made of the report's title (or its beginning), site and subject, with or without numbers."""
         begin = line.split(None, 1)
         if not begin or len(line) > 140 or not self.may_begin(begin[0]) or not _HAS_WORD.search(line):
             return False
+        whole = _masked(line)
+        if not whole:
+            return False
+        least = min(6, len(self.title))
+        titled = lambda p: bool(self.title) and len(p) >= least and self.title.startswith(p)
+        if titled(whole) or whole in (self.site, self.category):
+            return True
         parts = header_parts(line)
-        return bool(parts) and all(p in self.exact or re.sub(r"\W", "", p) in self.short or (self.title and len(p) >= min(6, len(self.title)) and self.title.startswith(p)) for p in parts)
+        if len(parts) < 2:
+            return False
+        known = [titled(p) or p in (self.site, self.category) for p in parts]
+        # Where the site isn't known, one segment of a few words beside title or subject is taken for it.
+        return all(known) or (not self.site and sum(known) == len(parts) - 1 >= 1 and len(line.split()) <= 14 and line[:1].isupper())
+
+
+_OUTER_NUMBERS = re.compile(r"^[\d\s]+|[\d\s]+$")
+
+
+def heading(line: str, before: str | None, after: str | None) -> str | None:
+    """The key of a line that may be a running header with a subject of its own: it looks like a heading and interrupts the
+    text, or stands apart from it. `before` and `after` are the neighbouring lines, None where there is none or a blank one."""
+    t = _OUTER_NUMBERS.sub("", line)
+    if not 8 <= len(t) <= 90 or not t[0].isupper() or t[-1] in ".,;:!?|)" or t[-1] in _HYPHENS or t.count(" ") < 1 or t.rsplit(None, 1)[-1] in _NO_END:
+        return None
+    interrupts = before is not None and before[-1] not in ".!?:|"
+    if not interrupts and after is not None and after[0].islower():
+        return None
+    return skeleton(re.sub(r"[^\w!|]|_", "", t))
 
 
 def lines_of(text: str, report: Report, lexicon: Lexicon | None):
-    """(rows, first, pending, bare) of one item.
+    """(rows, first, pending, bare, subjects) of one item.
 
     rows: (line_no, noise) found inside it; header rows are candidates. first: the first word of its first text line and
-    that line's number. pending: the word its last text line is cut at, with mark and line number. bare: (line_no, number).
+    that line's number; of the second, too, if the first may be a header. pending: the word its last text line is cut at,
+    with mark and line number. bare: (line_no, number). subjects: (line_no, key) of lines that may be headers.
     """
-    rows, bare = [], []
-    first = pending = None
+    rows, bare, subjects, first = [], [], [], []
+    pending = None
     lines = text.split("\n")
     kept: list[tuple[int, str]] = []
     for k, line in enumerate(lines, 1):
@@ -290,27 +319,35 @@ def lines_of(text: str, report: Report, lexicon: Lexicon | None):
         elif _HAS_WORD.search(s):
             kept.append((k, s))
     suspects = lexicon.suspects(set(text.split())) if lexicon else set()
-    if kept:
-        first = (kept[0][1].split(None, 1)[0], kept[0][0])
+    apart = [None] * len(kept)
+    for i, (k, s) in enumerate(kept):
+        before = kept[i - 1][1] if i and lines[k - 2].strip() else None
+        apart[i] = heading(s, before, kept[i + 1][1] if i + 1 < len(kept) and lines[k].strip() else None)
+        if apart[i]:
+            subjects.append((k, apart[i]))
+    # What may be a header is looked behind, at both ends and after a hyphen.
+    first = [(kept[i][1].split(None, 1)[0], kept[i][0]) for i in range(min(2, len(kept))) if i == 0 or apart[0]]
     carried = False
+    last = len(kept) - 1
     for i, (k, s) in enumerate(kept):
         cut = s[-1] in _HYPHENS and len(s) > 1 and not s[-2].isspace()
         if cut:
             word = s.rsplit(None, 1)[-1]
-            if i + 1 == len(kept):
+            if i == last or (i + 1 == last and apart[last]):
                 pending = (word, word[-1], k)
-            elif lexicon:
-                n, following = kept[i + 1]
-                following = following.split(None, 1)[0]
-                if lexicon.joins(word, following, word[-1]):
-                    rows.append((k, "hyphen"))
-                    rows += [(n if side else k, "misread") for side in broken_misread(word, following, lexicon)]
+            if lexicon:
+                for n, following in [x for j, x in enumerate(kept[i + 1 : i + 3]) if j == 0 or apart[i + 1]]:
+                    following = following.split(None, 1)[0]
+                    if lexicon.joins(word, following, word[-1]):
+                        rows.append((k, "hyphen"))
+                        rows += [(n if side else k, "misread") for side in broken_misread(word, following, lexicon)]
+                        break
         if suspects and s[0] != "|":
             words = s.split()
             if not suspects.isdisjoint(words[1 if carried else 0 : -1 if cut else None]):
                 rows.append((k, "misread"))
         carried = cut
-    return rows, first, pending, bare
+    return rows, first, pending, bare, subjects
 
 
 def broken_misread(left: str, right: str, lexicon: Lexicon) -> set[int]:
@@ -437,12 +474,12 @@ def spoiled(items: DataFrame, lexicon) -> DataFrame:
                     if len(reports) > 50_000:
                         reports.clear()
                     reports[who] = Report(*who)
-                rows, first, pending, bare = lines_of(text, reports[who], lex)
+                rows, first, pending, bare, subjects = lines_of(text, reports[who], lex)
                 at = (kind, source, ord_, item, page)
                 out += [(*at, k, noise, None, None, None) for k, noise in rows]
                 out += [(*at, k, "bare", n, None, None) for k, n in bare]
-                if first:
-                    out.append((*at, first[1], "first", None, first[0], None))
+                out += [(*at, k, "subject", None, key, None) for k, key in subjects]
+                out += [(*at, k, "first", i, word, None) for i, (word, k) in enumerate(first)]
                 if pending:
                     out.append((*at, pending[2], "pending", None, pending[0], pending[1]))
             if out:
@@ -454,25 +491,27 @@ def spoiled(items: DataFrame, lexicon) -> DataFrame:
 def _continued(rows: DataFrame, lexicon) -> DataFrame:
     """Words cut at an item's last text line that go on in the next item with text."""
     ends = rows.filter(F.col("noise").isin("first", "pending"))
+    begin = lambda i: F.min(F.when((F.col("noise") == "first") & (F.col("number") == i), F.struct("word", "line_no")))
     per = ends.groupBy("kind", "source", "ord", "item", "page_no").agg(
-        F.min(F.when(F.col("noise") == "first", F.struct("word", "line_no"))).alias("first"), F.min(F.when(F.col("noise") == "pending", F.struct("word", "mark", "line_no"))).alias("pending")
+        F.array_compact(F.array(begin(0), begin(1))).alias("first"), F.min(F.when(F.col("noise") == "pending", F.struct("word", "mark", "line_no"))).alias("pending")
     )
     order = Window.partitionBy("kind", "source").orderBy("ord", "item")
-    cuts = per.withColumn("next", F.lead(F.struct("item", "page_no", "first")).over(order)).filter("pending IS NOT NULL AND next.first IS NOT NULL")
+    cuts = per.withColumn("next", F.lead(F.struct("item", "page_no", "first")).over(order)).filter("pending IS NOT NULL AND size(next.first) > 0")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = lexicon.value
         for df in batches:
             out = []
-            for item, page, line, cut, mark, item2, page2, line2, word in df.itertuples(index=False):
-                if lex.joins(cut, word, mark):
-                    out.append((item, page, line, "hyphen"))
-                    for side in broken_misread(cut, word, lex):
-                        out.append((item2, page2, line2, "misread") if side else (item, page, line, "misread"))
+            for item, page, line, cut, mark, item2, page2, words, numbers in df.itertuples(index=False):
+                for word, line2 in zip(words, numbers):
+                    if lex.joins(cut, word, mark):
+                        out.append((item, page, line, "hyphen"))
+                        out += [(item2, page2, int(line2), "misread") if side else (item, page, line, "misread") for side in broken_misread(cut, word, lex)]
+                        break
             if out:
                 yield pd.DataFrame(out, columns=["item", "page_no", "line_no", "noise"])
 
-    return cuts.select("item", "page_no", "pending.line_no", "pending.word", "pending.mark", F.col("next.item").alias("item2"), F.col("next.page_no").alias("page2"), F.col("next.first.line_no").alias("line2"), F.col("next.first.word").alias("word2")).mapInPandas(
+    return cuts.select("item", "page_no", "pending.line_no", "pending.word", "pending.mark", F.col("next.item").alias("item2"), F.col("next.page_no").alias("page2"), F.col("next.first.word").alias("words"), F.col("next.first.line_no").alias("lines")).mapInPandas(
         run, "item string, page_no int, line_no int, noise string"
     )
 
@@ -487,17 +526,23 @@ def _judged(items: DataFrame, lexicon) -> DataFrame:
     rows = written(spoiled(items, lexicon), "noise")
     key = ["item", "page_no", "line_no", "noise"]
     distinct = rows.filter(F.col("noise").isin("header", "bare", "page_number")).distinct()
-    # A header stands on several pages of its report.
+    # A header stands on several pages of its report: title, site and subject as known, or a heading of a scan that
+    # comes again and again between its lines.
     often = distinct.filter("noise = 'header'").groupBy("kind", "source").agg(F.count("*").alias("n")).filter("n >= 2").select("kind", "source")
-    headers = rows.filter("noise = 'header'").join(often, ["kind", "source"], "left_semi").select(*key)
+    scans = rows.filter("noise = 'hyphen'").select("kind", "source").distinct()
+    subjects = rows.filter("noise = 'subject'").join(scans, ["kind", "source"], "left_semi")
+    again = subjects.select("kind", "source", "word", "item", "page_no", "line_no").distinct().groupBy("kind", "source", "word").agg(F.count("*").alias("n")).filter("n >= 2").select("kind", "source", "word")
+    headers = rows.filter("noise = 'header'").join(often, ["kind", "source"], "left_semi").select(*key).unionByName(subjects.join(again, ["kind", "source", "word"], "left_semi").withColumn("noise", F.lit("header")).select(*key))
     # A bare number is that of the page if the report counts on with it, or if it has no other bare numbers.
     bare = distinct.filter("noise = 'bare'")
     runs = bare.select("kind", "source", F.explode(F.array(F.col("number") - 1, F.col("number") + 1)).alias("number")).distinct()
     forms = distinct.filter("noise = 'page_number'").select("kind", "source").distinct()
     alone = bare.groupBy("kind", "source").agg(F.count("*").alias("n")).filter("n = 1").join(forms, ["kind", "source"], "left_anti").select("kind", "source")
     numbers = bare.join(runs, ["kind", "source", "number"], "left_semi").unionByName(bare.filter("number < 1000").join(alone, ["kind", "source"], "left_semi")).withColumn("noise", F.lit("page_number"))
-    sure = rows.filter(F.col("noise").isin("hyphen", "misread", "page_number"))
-    return sure.select(*key).unionByName(headers).unionByName(numbers.select(*key)).unionByName(_continued(rows.filter(F.col("noise").isin("first", "pending")), lexicon).select(*key)).distinct()
+    sure = rows.filter(F.col("noise").isin("hyphen", "misread", "page_number")).select(*key).unionByName(_continued(rows.filter(F.col("noise").isin("first", "pending")), lexicon).select(*key))
+    # A header is only that.
+    sure = sure.join(headers.select("item", "page_no", "line_no"), ["item", "page_no", "line_no"], "left_anti").select(*key)
+    return sure.unionByName(headers).unionByName(numbers.select(*key)).distinct()
 
 
 # ---------------------------------------------------------------- repaired text
