@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,13 +53,26 @@ def ttl_sessions(writes: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
 def schedule_due(ticks: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
     """(key, ts) of the ticks that run: the first, and every one at least the interval after the last run.
 
-    Whether a tick runs depends on the run before, so a key's ticks are folded in order.
+    Whether a tick runs depends on the run before, so a key's ticks are read in order as a stream; only the time of the
+    last run is held. Null times never run.
     """
+    kind = ticks.schema[key].dataType.simpleString()
     gap = minutes * 60_000_000
-    t = F.sort_array(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp"))))
-    zero = F.array().cast("array<bigint>")
-    runs = F.aggregate("t", zero, lambda a, x: F.when((F.size(a) == 0) | (x >= F.element_at(F.when(F.size(a) == 0, F.array(F.lit(0).cast("bigint"))).otherwise(a), -1) + gap), F.array_append(a, x)).otherwise(a))
-    return ticks.groupBy(key).agg(t.alias("t")).select(key, F.explode(runs).alias("us")).select(key, F.timestamp_micros("us").alias(ts))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = object(), 0
+        for df in batches:
+            out = []
+            for k, us in df.itertuples(index=False):
+                if k != now or us >= last + gap:
+                    now, last = k, us
+                    out.append((k, us))
+            if out:
+                yield pd.DataFrame(out, columns=[key, "us"])
+
+    rows = ticks.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).filter("us IS NOT NULL")
+    runs = rows.repartition(key).sortWithinPartitions(key, "us").mapInPandas(fold, f"{key} {kind}, us bigint")
+    return runs.select(key, F.timestamp_micros("us").alias(ts))
 
 
 #: Plans up to this many nodes are peeled inside one task; larger ones wave by wave over all tasks.
@@ -123,3 +138,21 @@ def plan_status(nodes: DataFrame, results: DataFrame) -> DataFrame:
 def ledger(events: DataFrame) -> DataFrame:
     """(run_id, seq, ts, event): each run's events numbered in the order they were appended."""
     return events.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "event_id"))).select("run_id", "seq", "ts", "event")
+
+
+def owned(conversations: DataFrame, owner: str | None) -> DataFrame:
+    """An owner's conversations; no owner stands for everyone's."""
+    return conversations if owner is None else conversations.filter(F.col("owner_id") == owner)
+
+
+def delete_conversation(conversations: DataFrame, messages: DataFrame, conversation_id: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables without a conversation and its messages."""
+    keep = lambda df: df.filter(~F.col("conversation_id").eqNullSafe(F.lit(conversation_id)))
+    return keep(conversations), keep(messages)
+
+
+def run_view(events: DataFrame, results: DataFrame, state: DataFrame) -> DataFrame:
+    """(run_id, n_events, first_ts, last_ts, n_results, state): what is known of each run in the log."""
+    log = events.groupBy("run_id").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    done = results.groupBy("run_id").agg(F.count("*").alias("n_results"))
+    return log.join(done, "run_id", "left").join(state.select(F.col("task_id").alias("run_id"), "state"), "run_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import cited_indices, invalid_citations
+from corvane.functions.text import cited_indices, invalid_citations, renumber_udf
 
 ABSTENTION = "I could not find this in the library."
 
@@ -57,3 +57,21 @@ def merge_sources(sources: DataFrame, by: str = "run_id") -> DataFrame:
 def cited(answers: DataFrame, key: str) -> DataFrame:
     """(key, marker): the distinct markers of each answer."""
     return answers.select(key, F.explode(cited_indices(F.col("answer"))).alias("marker"))
+
+
+def synthesize(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(run_id, answer, n_sources): the summaries of a run's nodes in the order of the plan, their local markers renumbered.
+
+    Nodes are (run_id, node_id, position, summary), sources (run_id, node_id, local, label). A source has the number of
+    its label in the run, in the order first seen; markers without source go; nodes without summary are left out, and a
+    run without any says so. A run has as many nodes as its plan.
+    """
+    seen = sources.join(nodes.select("run_id", "node_id", "position"), ["run_id", "node_id"])
+    first = seen.groupBy("run_id", "label").agg(F.min(F.struct("position", "local")).alias("at"))
+    numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("run_id").orderBy("at", "label")))
+    mapping = seen.join(numbered.select("run_id", "label", "n"), ["run_id", "label"]).groupBy("run_id", "node_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("local", "n")))).alias("m"), F.max("local").alias("most"))
+    mapped = nodes.join(mapping, ["run_id", "node_id"], "left").withColumn("mapping", F.when(F.col("m").isNotNull(), F.transform(F.sequence(F.lit(1), F.col("most")), lambda i: F.element_at("m", i))).otherwise(F.array().cast("array<int>")))
+    texts = mapped.filter(F.coalesce(F.trim("summary"), F.lit("")) != "").withColumn("text", renumber_udf("summary", "mapping"))
+    answers = texts.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n\n").alias("answer"))
+    count = numbered.groupBy("run_id").agg(F.count("*").alias("n_sources"))
+    return nodes.select("run_id").distinct().join(answers, "run_id", "left").join(count, "run_id", "left").select("run_id", F.coalesce("answer", F.lit("No results.")).alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))

@@ -86,6 +86,22 @@ def recover_dropped(pages: DataFrame, least_letters: int = 10, share: float = 0.
     return once.groupBy("source", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda x: F.trim(x["line"])), "\n").alias("recovered"))
 
 
+def align_recovered(layout: DataFrame, recovered: DataFrame) -> DataFrame:
+    """(source, page, text): recovered lines after their page where both parsers have as many pages, else after the last page.
+
+    layout: (source, page, text, n_plain_pages); recovered: (source, page, recovered). Pages are counted from 0.
+    """
+    n = layout.groupBy("source").agg(F.count("*").alias("n"), F.max("n_plain_pages").alias("m"), F.max("page").alias("last"))
+    placed = recovered.join(n, "source").select("source", F.when(F.col("n") == F.col("m"), F.col("page")).otherwise(F.col("last")).alias("page"), F.col("page").alias("of"), "recovered")
+    more = placed.groupBy("source", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("of", "recovered"))), lambda x: x["recovered"]), "\n").alias("more"))
+    return layout.join(more, ["source", "page"], "left").select("source", "page", F.concat(F.coalesce("text", F.lit("")), F.coalesce(F.concat(F.lit("\n\n"), "more"), F.lit(""))).alias("text"))
+
+
+def record_run(summary: DataFrame, path: str) -> None:
+    """The last run as a table of one row."""
+    summary.withColumn("recorded_at", F.current_timestamp()).write.mode("overwrite").json(path)
+
+
 _MARK = "<!-- image -->"
 
 

@@ -264,6 +264,40 @@ def search_plan(library: DataFrame, queries: DataFrame, plan: SearchPlan, k: int
     return hybrid_rrf(library, queries, k, where).select(*names, F.lit(COSINE).alias("score_kind"))
 
 
+class UnsupportedStrategyError(ValueError):
+    """A store can't search by the plan's strategy."""
+
+
+def checked(plan: SearchPlan, supported: frozenset[str] = frozenset({"semantic", "lexical", "hybrid_rrf", "hybrid_weighted"})) -> SearchPlan:
+    """The plan, if a store that supports these strategies can run it; the default plan runs on every store."""
+    if not plan.is_default() and plan.strategy not in supported:
+        raise UnsupportedStrategyError(plan.strategy)
+    return plan
+
+
+def parse_plan(response: Column) -> Column:
+    """A plan from a model's answer: the text from the first brace to the last, as JSON; whatever can't be read is default.
+
+    Unknown strategies are `hybrid_rrf`, blank filter strings are unset, weights only count for `hybrid_weighted`.
+    """
+    kind = "struct<strategy:string,filter:struct<publisher:string,source_type:string,category:string,published_from:string,published_to:string>,weights:array<double>>"
+    p = F.from_json(F.regexp_extract(F.coalesce(response, F.lit("")), r"(?s)(\{.*\})", 1), kind)
+    strategy = F.when(p["strategy"].isin("semantic", "lexical", "hybrid_rrf", "hybrid_weighted"), p["strategy"]).otherwise("hybrid_rrf")
+    part = lambda c: F.nullif(F.trim(p["filter"][c]), F.lit("")).alias(c)
+    weights = F.when((strategy == "hybrid_weighted") & (F.size(p["weights"]) == 2), p["weights"])
+    return F.struct(strategy.alias("strategy"), *[part(c) for c in ("publisher", "source_type", "category", "published_from", "published_to")], weights.alias("weights"))
+
+
+def retrieve_corpus(library: DataFrame, queries: DataFrame, plan: SearchPlan, k: int, least_chars: int = 200, thresholds: dict[str, float] | None = None, reranker=None) -> DataFrame:
+    """Search, short texts out, thresholds, then the reranker: thresholds never see its scores. (query_id, id, score, score_kind, rank)"""
+    pool = max(30, k) if reranker is not None else k
+    hits = search_plan(library, queries, checked(plan), pool * 6).join(library.select("id", "text"), "id")
+    hits = threshold(min_chars(hits, least_chars, pool), thresholds if thresholds is not None else {COSINE: 0.0})
+    if reranker is None:
+        return hits.filter(F.col("rank") <= k).drop("text")
+    return rerank(hits.join(queries.select("query_id", "query"), "query_id"), reranker(F.col("query"), F.col("text")), k).drop("text", "query")
+
+
 def search_plans(library: DataFrame, queries: DataFrame, plans: dict[str, SearchPlan], k: int) -> DataFrame:
     """Plans as data: queries (query_id, ..., plan) go by the plan they name; a union of one branch per plan."""
     out = None

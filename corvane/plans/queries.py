@@ -597,6 +597,33 @@ def needle_match_exact(spark, d):
     return docs.join(F.broadcast(needles), F.contains("hay", "needle")).select("doc_id", "publisher").distinct()
 
 
+@query()
+def synthesize_concat(spark, d):
+    """A run per conversation, its turns as nodes, their hits' sources as sources."""
+    m = table(spark, d, "messages").select(F.col("conversation_id").alias("run_id"), "seq", F.col("answer").alias("summary")).distinct()
+    h = table(spark, d, "hits").select("seq", F.col("hit_rank").alias("local"), F.get_json_object("metadata", "$.source").alias("label")).distinct().dropDuplicates(["seq", "local"])
+    nodes = m.select("run_id", F.col("seq").cast("string").alias("node_id"), F.col("seq").alias("position"), "summary")
+    sources = h.join(m.select("run_id", "seq"), "seq").select("run_id", F.col("seq").cast("string").alias("node_id"), "local", "label")
+    return grounding.synthesize(nodes, sources)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'semantic' WHEN doc_id % 4 = 1 THEN 'hybrid_weighted' ELSE 'hybrid_rrf' END AS strategy, CASE WHEN doc_id % 4 < 3 THEN category END AS category, CASE WHEN doc_id % 4 = 1 THEN 0.6 END AS dense_weight FROM documents""")
+def parse_plan(spark, d):
+    made = F.to_json(F.struct(F.when(F.col("doc_id") % 4 == 0, "semantic").when(F.col("doc_id") % 4 == 1, "hybrid_weighted").otherwise("magic").alias("strategy"), F.struct(F.col("category"), F.lit(" ").alias("publisher")).alias("filter"), F.array(F.lit(0.6), F.lit(0.4)).alias("weights")))
+    said = F.when(F.col("doc_id") % 4 == 3, F.lit("no plan } here {")).otherwise(F.concat(F.lit("Sure, here it is:\n```json\n"), made, F.lit("\n```")))
+    p = search.parse_plan(said)
+    return table(spark, d, "documents").select("doc_id", p["strategy"].alias("strategy"), p["category"].alias("category"), F.element_at(p["weights"], 1).alias("dense_weight"))
+
+
+@query(f"""WITH {{LIB}}, {{DENSE}}, p AS (SELECT d.*, length(lib.text) >= 200 AS ok, lib.text FROM dense d JOIN lib USING (id) WHERE d.rank <= 180), n AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY query_id) AS n_long FROM p),
+  r AS (SELECT query_id, id, text, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM n WHERE ok OR n_long = 0), t AS (SELECT * FROM r WHERE rank <= 30 AND score >= 0),
+  s AS (SELECT t.query_id, id, rank, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(a), 6) ELSE 0.0 END AS score FROM (SELECT t.*, list_distinct({_TERMS.format("query")}) AS a, {_TERMS.format("text")} AS b FROM t JOIN q USING (query_id)) t),
+  o AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM s) SELECT query_id, id, score, rank::INT AS rank FROM o WHERE rank <= 8""")
+def retrieve_corpus(spark, d):
+    lib = library(spark, d)
+    return search.retrieve_corpus(lib, asked(lib), search.SearchPlan("semantic"), 8, reranker=search.overlap_score).select("query_id", "id", "score", "rank")
+
+
 # ---------------------------------------------------------------- tasks, namespaces, plans
 
 
@@ -680,6 +707,14 @@ def plan_status(spark, d):
     return agents.plan_status(m, r)
 
 
+@query("""WITH {TASKS}, l AS (SELECT task_id AS run_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS latest FROM ev GROUP BY 1), r AS (SELECT task_id AS run_id, count(*) AS n_results FROM ev WHERE event = 'acked' GROUP BY 1)
+  SELECT run_id, n_events, first_ts, latest AS last_ts, coalesce(n_results, 0) AS n_results, state FROM l LEFT JOIN r USING (run_id) LEFT JOIN state ON task_id = run_id""")
+def run_view(spark, d):
+    ev = _events(spark, d)
+    runs = ev.withColumnRenamed("task_id", "run_id")
+    return agents.run_view(runs, runs.filter("event = 'acked'").select("run_id"), agents.task_state(ev))
+
+
 @query("SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS seq, ts, event_type AS event FROM events")
 def run_ledger(spark, d):
     return agents.ledger(table(spark, d, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", F.col("event_type").alias("event")))
