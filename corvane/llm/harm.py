@@ -151,6 +151,13 @@ h they are too lazy and too stupid to be allowed near a bank
 """
 
 
+def _latin(m: re.Match) -> str:
+    """A word in Latin letters if it has some already, or if all its letters look like Latin ones."""
+    word = m.group()
+    seen = word.translate(_LOOKALIKE)
+    return seen if word != seen and (seen.isascii() or any("a" <= c <= "z" for c in word)) else word
+
+
 def _unmask(m: re.Match) -> str:
     w = m.group()
     return w if _CODE.match(w) or sum(c.isdigit() for c in w) > sum(c.isalpha() for c in w) + 1 else w.rstrip("!").translate(_FIGURES)
@@ -161,7 +168,7 @@ def fold(text: str) -> str:
     s = unicodedata.normalize("NFKD", text).lower()
     if not s.isascii():
         s = "".join(c for c in s if unicodedata.category(c) not in ("Cf", "So", "Sk", "Mn"))
-        s = re.sub(r"\w+", lambda m: m.group().translate(_LOOKALIKE) if any("a" <= c <= "z" for c in m.group().translate(_LOOKALIKE)) else m.group(), s)
+        s = re.sub(r"\w+", _latin, s)
     s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), s)
     s = _MIXED.sub(_unmask, s)
     s = _RUNS.sub(r"\1", s)
@@ -170,16 +177,18 @@ def fold(text: str) -> str:
 
 
 def sentences(text: str | None) -> list[str]:
-    """The sentences of a text; long ones go by pairs of neighbouring clauses, since harm may be a part only."""
+    """The sentences of a text and their clauses; very long ones go by pairs of clauses, since harm may be a part only."""
     out = []
     for s in _SENTENCE.split(text or ""):
         if not s or len(s) < 3:
             continue
-        parts = s.split(", ") if len(s) > 160 else []
-        if len(parts) > 2:
+        parts = s.split(", ")
+        if len(s) > 160 and len(parts) > 2:
             out += [", ".join(parts[i : i + 2]) for i in range(len(parts) - 1)]
         else:
             out.append(s)
+            if len(s) > 40 and len(parts) > 1:
+                out += [x for x in parts if len(x) > 24]
     return out
 
 
@@ -227,10 +236,10 @@ def _fit(h: np.ndarray, o: np.ndarray, n: int, y: np.ndarray, weight: np.ndarray
     """Weights of one kind: log-count ratios, scaled by logistic regression (Adam)."""
     norm = np.sqrt(np.maximum(1, np.bincount(o, minlength=n)))
     w_pos, w_neg = np.where(y, weight, 0.0), np.where(y, 0.0, weight)
-    p = 1 + np.bincount(h, weights=w_pos[o], minlength=SIZE)
-    q = 1 + np.bincount(h, weights=w_neg[o], minlength=SIZE)
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio[(p == 1) & (q == 1)] = 0
+    p, q = np.bincount(h, weights=w_pos[o], minlength=SIZE), np.bincount(h, weights=w_neg[o], minlength=SIZE)
+    ratio = np.log((p + 1) / (p.sum() + SIZE)) - np.log((q + 1) / (q.sum() + SIZE))
+    # The classes differ in size, so smoothing alone would speak for the smaller one: what it never had says nothing for it.
+    ratio = np.where(p == 0, np.minimum(ratio, 0.0), ratio)
     v = np.ones(SIZE)
     m1, m2 = np.zeros(SIZE), np.zeros(SIZE)
     x = ratio[h] / norm[o]
@@ -296,7 +305,7 @@ def train(labelled: list[tuple[str | None, str]], rounds: int = 2, most: int = T
                     chosen[j].append(s)
         if negatives:
             score = model.score(negatives)
-            doubtful = {s for s, x in zip(negatives, score.max(axis=1)) if x >= 0.9}
+            doubtful = {s for s, x in zip(negatives, score.max(axis=1)) if x >= 0.97}
     return model
 
 
