@@ -39,8 +39,8 @@ _BOM = "﻿"
 
 
 def _bare(c: Column) -> Column:
-    """Without BOM and outer blanks."""
-    return F.regexp_replace(c, r"^[\s\x{FEFF}\x{A0}]+|[\s\x{FEFF}\x{A0}]+$", "")
+    """Without BOM and outer blanks of any kind."""
+    return F.regexp_replace(c, r"^[\s\p{Z}\x{FEFF}\x{200B}]+|[\s\p{Z}\x{FEFF}\x{200B}]+$", "")
 
 
 def _is_data(line: Column) -> Column:

@@ -66,7 +66,33 @@ def asked(lib: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- drifting files
 
 
-@query()
+def _cells(text: str) -> str:
+    """SQL for the cells of a line, with its delimiter in d."""
+    one = lambda c, e: f"regexp_extract_all({c} || {text}, '{e}( *\"(?:[^\"]|\"\")*\" *|[^{e}]*)', 1)"
+    split = f"CASE d WHEN ',' THEN {one(chr(39) + ',' + chr(39), ',')} WHEN ';' THEN {one(chr(39) + ';' + chr(39), ';')} ELSE {one('chr(9)', chr(92) + 't')} END"
+    bare = "regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
+    split = f"list_transform({split}, lambda x: {bare})"
+    return f"list_transform({split}, lambda x: CASE WHEN trim(x) LIKE '\"%\"' THEN trim(replace(trim(trim(x), '\"'), '\"\"', '\"')) ELSE trim(x) END)"
+
+
+_ALIASES = ", ".join(f"'{a}': '{k}'" for k, v in drift.ALIASES.items() for a in (*v, k))
+_P1 = f"""WITH l AS (SELECT DISTINCT manifest_id, line_no, replace(coalesce(line_text, ''), chr(65279), '') AS t FROM manifest_lines),
+  u AS (SELECT * FROM l WHERE regexp_matches(t, '[^ \\t]') AND NOT regexp_matches(t, '^[ \\t]*#')),
+  h AS (SELECT manifest_id, min(line_no) AS hn, arg_min(t, line_no) AS ht FROM u GROUP BY 1),
+  g AS (SELECT *, CASE WHEN length(replace(ht, ',', '')) <= least(length(replace(ht, ';', '')), length(replace(ht, chr(9), ''))) THEN ',' WHEN length(replace(ht, ';', '')) <= length(replace(ht, chr(9), '')) THEN ';' ELSE chr(9) END AS d FROM h),
+  n AS (SELECT manifest_id, hn, d, list_transform({_cells("ht")}, lambda x: lower(x)) AS names FROM g),
+  r AS (SELECT manifest_id, names, c FROM (SELECT u.manifest_id, names, {_cells("t")} AS c FROM u JOIN n USING (manifest_id) WHERE line_no > hn) WHERE list_transform(c, lambda x: lower(x)) <> names),
+  v AS (SELECT manifest_id, names[i] AS name, c[i] AS v FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM r) WHERE c[i] <> ''),
+  k AS (SELECT manifest_id, name, CASE WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]+')) THEN 'integer' WHEN bool_and(regexp_full_match(v, '[+-]?([0-9]+|[0-9]*\\.[0-9]+)')) THEN 'decimal' WHEN bool_and(regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) THEN 'date' ELSE 'text' END AS kind FROM v GROUP BY ALL),
+  f AS (SELECT manifest_id, name, coalesce(MAP {{{_ALIASES}}}[name], name) AS field_name, kind FROM (SELECT manifest_id, unnest(names) AS name FROM n) LEFT JOIN k USING (manifest_id, name)),
+  o AS (SELECT manifest_id, lag(manifest_id) OVER (PARTITION BY folder ORDER BY collected_at, manifest_id) AS before FROM (SELECT DISTINCT manifest_id, folder, collected_at FROM manifest_files)),
+  a AS (SELECT o.manifest_id, field_name, name, kind FROM o JOIN f USING (manifest_id) WHERE before IS NOT NULL), b AS (SELECT o.manifest_id, field_name, name, kind FROM o JOIN f ON f.manifest_id = before)
+  SELECT manifest_id, field_name, drift FROM (SELECT manifest_id, field_name, unnest([CASE WHEN b.name IS NULL THEN 'added' END, CASE WHEN a.name IS NULL THEN 'removed' END,
+    CASE WHEN a.name <> b.name AND field_name IN ('status', 'url', 'filename', 'domain', 'detected_year', 'size_bytes', 'sha256', 'error') THEN 'renamed' END, CASE WHEN a.kind <> b.kind THEN 'type_changed' END]) AS drift
+    FROM a FULL JOIN b USING (manifest_id, field_name)) WHERE drift IS NOT NULL"""
+
+
+@query(_P1)
 def p1_found(spark, d):
     return drift.drift(table(spark, d, "manifest_files"), table(spark, d, "manifest_lines"))
 
