@@ -3,13 +3,15 @@
 Library tables have (id, text, embedding, publisher, source_type, category, published_date); query tables (query_id,
 ...). Results have (query_id, id, score, rank), ranked by score with ties by id.
 
-Dense search packs rows into matrix blocks; a query block meets a row block once, both of bounded size, and only the
-block's own top k leave it, so what is shuffled grows with the number of blocks and not with the number of pairs.
-Lexical search keeps term statistics as tables; a query's terms meet the postings by their term.
+Rows are packed into blocks, matrices for dense search and inverted lists for lexical search; a query block meets a row
+block once, both of bounded size, and only the block's own top k leave it, so what is shuffled grows with the number of
+blocks and not with the number of pairs.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -136,27 +138,73 @@ def kmeans_centers(library: DataFrame, lists: int, sample: int = 20_000, rounds:
 # ---------------------------------------------------------------- terms
 
 
-def postings(library: DataFrame) -> DataFrame:
-    """(term, id, tf, dl) of (id, text); counted inside each row, so nothing is shuffled."""
-    t = terms(F.col("text"))
-    return library.select("id", t.alias("t")).select("id", F.size("t").alias("dl"), F.explode(F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).alias("tf")))).alias("p")).select("p.term", "id", "p.tf", "dl")
-
+def term_weights(library: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(weights, stats): (query_id, term, idf) for queries (query_id, query), and one row (n_docs, avgdl); over all rows.
 
-def bm25_scores(library: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score) of every row that shares a term with the query (query_id, query); statistics over all rows."""
-    post = postings(library)
-    stats = library.select(F.size(terms(F.col("text"))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    Only terms that some query has are counted, once per row, and the counts are combined before their shuffle.
+    """
+    t = terms(F.col("text"))
+    stats = library.select(F.size(t).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    # One row of statistics; the weight of a term is found before the postings, which need their own term only.
-    weight = asked.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return weight.join(post, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    seen = library.select(F.explode(F.array_distinct(t)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weights = asked.join(seen, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return weights, stats
+
 
+def bm25_topk(library: DataFrame, queries: DataFrame, k: int, rows: DataFrame | None = None, k1: float = K1, b: float = B, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, score, rank) of `rows` (default: all) that share a term with the query; statistics are those of all rows.
 
-def bm25_topk(library: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    Rows become inverted blocks inside their tasks; a row block meets a query block once, both of bounded size, and only
+    the block's own top k leave it, so the scores of single pairs are never shuffled.
+    """
     _positive(k)
-    return ranked(bm25_scores(library, queries), k)
+    weights, stats = term_weights(library, queries)
+    n_blocks = max(1, -(-queries.count() // query_block))
+    asked = weights.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list("query_id").alias("q"), F.collect_list("term").alias("t"), F.collect_list("idf").alias("w"))
+    kept = (library if rows is None else rows).select("id", terms(F.col("text")).alias("terms"))
+
+    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for i in range(0, len(df), row_block):
+                part = df.iloc[i : i + row_block].sort_values("id")
+                lists: dict[str, list] = {}
+                for at, own in enumerate(part["terms"]):
+                    for term, n in Counter(own).items():
+                        lists.setdefault(term, []).append((at, n))
+                index = {t: np.array(x, np.int32) for t, x in lists.items()}
+                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "dl": [np.array([len(x) for x in part["terms"]], np.int32).tobytes()], "index": [pickle.dumps(index, 5)]})
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for r in df.itertuples(index=False):
+                ids, dl, index = np.frombuffer(r.ids, np.int64), np.frombuffer(r.dl, np.int32), pickle.loads(r.index)
+                norm = k1 * (1 - b + b * dl / r.avgdl)
+                own: dict[int, list] = {}
+                for q, t, w in zip(r.q, r.t, r.w):
+                    if t in index:
+                        own.setdefault(int(q), []).append((t, w))
+                parts = {}
+                qs, out_ids, out_scores = [], [], []
+                for q, found in own.items():
+                    total = np.zeros(len(ids))
+                    for t, w in found:
+                        if t not in parts:
+                            at, tf = index[t][:, 0], index[t][:, 1]
+                            parts[t] = (at, tf * (k1 + 1) / (tf + norm[at]))
+                        at, part = parts[t]
+                        total[at] += w * part
+                    some = np.flatnonzero(total > 0)
+                    rounded = np.round(total[some], 6)
+                    best = np.argsort(-rounded, kind="stable")[:k]  # ties by id, as the ids are in order
+                    qs += [q] * len(best)
+                    out_ids.append(ids[some[best]])
+                    out_scores.append(rounded[best])
+                if qs:
+                    yield pd.DataFrame({"query_id": qs, "id": np.concatenate(out_ids), "score": np.concatenate(out_scores)})
+
+    blocks = kept.filter("id IS NOT NULL").mapInPandas(invert, "ids binary, dl binary, index binary")
+    pairs = blocks.crossJoin(asked.drop("block")).crossJoin(F.broadcast(stats.select("avgdl")))  # blocks by blocks
+    return ranked(pairs.mapInPandas(score, "query_id bigint, id bigint, score double"), k)
 
 
 # ---------------------------------------------------------------- filters
@@ -215,10 +263,7 @@ def _legs(library: DataFrame, queries: DataFrame, k: int, where: MetadataFilter
     """(rows that pass, dense leg, lexical leg): the filter comes before the pools, term statistics stay those of all rows."""
     pool = max(k, POOL)
     rows = library.filter(where.predicate()) if where and not where.is_empty() else library
-    lexical = bm25_scores(library, queries)
-    if rows is not library:
-        lexical = lexical.join(rows.select("id"), "id", "left_semi")
-    return rows, dense_topk_batch(rows, queries, pool), ranked(lexical, pool)
+    return rows, dense_topk_batch(rows, queries, pool), bm25_topk(library, queries, pool, rows)
 
 
 def hybrid_rrf(library: DataFrame, queries: DataFrame, k: int, where: MetadataFilter | None = None) -> DataFrame:
@@ -256,9 +301,7 @@ def search_plan(library: DataFrame, queries: DataFrame, plan: SearchPlan, k: int
     if plan.strategy == "semantic":
         return dense_topk_batch(rows, queries, k).select(*names, F.lit(COSINE).alias("score_kind"))
     if plan.strategy == "lexical":
-        scores = bm25_scores(library, queries)
-        scores = scores.join(rows.select("id"), "id", "left_semi") if plan.has_active_filter() else scores
-        return ranked(scores, k).select(*names, F.lit(BM25).alias("score_kind"))
+        return bm25_topk(library, queries, k, rows).select(*names, F.lit(BM25).alias("score_kind"))
     if plan.strategy == "hybrid_weighted":
         return hybrid_weighted(library, queries, k, plan.weights or WEIGHTS, where).select(*names, F.lit(NORMALIZED).alias("score_kind"))
     return hybrid_rrf(library, queries, k, where).select(*names, F.lit(COSINE).alias("score_kind"))
