@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.tables import spread
+
 #: Fixed value: the published pattern that splits text before the merges; white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -154,7 +156,7 @@ def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column:
             flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[id_column, "ids"])
 
-    return documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
+    return spread(documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:
@@ -167,4 +169,4 @@ def token_counts(documents: DataFrame, id_column: str = "doc_id", text_column: s
         for part, texts in _blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(enc.count(texts), pa.int64())], names=[id_column, "n_tokens"])
 
-    return documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint")
+    return spread(documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))).mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint")

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.tables import spread
+
 KINDS = ("abusive", "hateful", "sexual")
 SIZE, GRAMS = 1 << 18, (3, 4, 5)
 #: The margin of a sentence that nothing is known about.
@@ -341,7 +343,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, most: int = TRAIN_D
                 best = np.array([score[i].max(axis=0) if i else np.zeros(len(KINDS)) for i in of]).reshape(len(df), len(KINDS)).round(6)
                 yield pd.DataFrame({"doc_id": df["doc_id"].to_numpy(), "source": df["source"].to_numpy(), **{k: best[:, j] for j, k in enumerate(KINDS)}})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, abusive double, hateful double, sexual double")
+    return spread(documents.select("doc_id", "source", "text")).mapInPandas(run, "doc_id bigint, source string, abusive double, hateful double, sexual double")
 
 
 def found(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.storage import written
+from corvane.tables import spread
 
 MIN_SHARE, MIN_DOCUMENTS = 0.2, 5
 
@@ -69,7 +70,8 @@ def site_name(publisher: Column) -> Column:
 
 def line_table(chunks: DataFrame) -> DataFrame:
     """(id, doc, site, keys): the key of each line of a chunk, without its text."""
-    return chunks.filter("source IS NOT NULL").select("id", F.xxhash64("source").alias("doc"), site_name(F.col("publisher")).alias("site"), line_keys(F.coalesce("text", F.lit(""))).alias("keys"))
+    chunks = spread(chunks.filter("source IS NOT NULL").select("id", "source", "publisher", "text"))
+    return chunks.select("id", F.xxhash64("source").alias("doc"), site_name(F.col("publisher")).alias("site"), line_keys(F.coalesce("text", F.lit(""))).alias("keys"))
 
 
 @dataclass(frozen=True)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.storage import written
+from corvane.tables import spread
 
 #: Forms rarer than this share of all words count as unknown; bounds the lexicon at 1 / MIN_SHARE forms.
 MIN_SHARE, MIN_COUNT = 1e-6, 2
@@ -371,6 +372,8 @@ def broken_misread(left: str, right: str, lexicon: Lexicon) -> set[int]:
 def scan_items(plans: DataFrame, chunks: DataFrame) -> DataFrame:
     """(kind, source, ord, item, page_no, text, title, host, category): pages and chunks in reading order."""
     of = lambda name: F.get_json_object("metadata", f"$.{name}")
+    plans = spread(plans.select("source", "pages", "title", "metadata"))
+    chunks = spread(chunks.select("id", "source", "chunk_index", "text", "publisher", "metadata"))
     pages = plans.select("source", F.posexplode("pages").alias("pos", "text"), F.coalesce("title", of("title")).alias("title"), of("publisher").alias("host"), of("category").alias("category")).select(
         F.lit("page").alias("kind"), "source", (F.col("pos") + 1).cast("bigint").alias("ord"), F.col("source").alias("item"), (F.col("pos") + 1).cast("int").alias("page_no"), "text", "title", "host", "category"
     )
