@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.operators.groups import fold_groups
 from corvane.storage import written
 
 RECLAIM_IDLE_MS, MAX_ATTEMPTS = 5000, 3
@@ -91,18 +92,18 @@ def dag_waves(nodes: DataFrame) -> DataFrame:
     small = rows.join(large, "run_id", "left_anti").select("run_id", "node_id", "depends_on")
     kind = nodes.schema["run_id"].dataType.simpleString()
 
-    def peel(df: pd.DataFrame) -> pd.DataFrame:
+    def peel(plan: list) -> list[tuple]:
         deps: dict[str, set] = {}
-        for node, own in zip(df["node_id"], df["depends_on"]):
-            deps.setdefault(node, set()).update(own)
+        for node in plan:
+            deps.setdefault(node.node_id, set()).update(node.depends_on)
         waves: dict[str, int] = {}
         wave = 0
         while ready := [n for n, own in deps.items() if n not in waves and all(x in waves for x in own)]:
             waves.update(dict.fromkeys(ready, wave))
             wave += 1
-        return pd.DataFrame({"run_id": [df["run_id"].iloc[0]] * len(waves), "node_id": list(waves), "wave": list(waves.values())}).astype({"node_id": "object", "wave": "int32", "run_id": df["run_id"].dtype})
+        return [(plan[0].run_id, n, w) for n, w in waves.items()]
 
-    out = small.groupBy("run_id").applyInPandas(peel, f"run_id {kind}, node_id string, wave int")
+    out = fold_groups(small, "run_id", ["node_id"], peel, f"run_id {kind}, node_id string, wave int")
     return out if large.isEmpty() else out.unionByName(_waves_of_large(rows.join(large, "run_id", "left_semi").select("run_id", "node_id", "depends_on")))
 
 

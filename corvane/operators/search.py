@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.text import terms
+from corvane.operators.groups import fold_groups
 
 K1, B = 1.2, 0.75
 RRF, POOL, WEIGHTS = 60, 50, (0.7, 0.3)
@@ -433,10 +434,10 @@ def expand(hits: DataFrame, chunks: DataFrame, radius: int = 1, max_chunks: int
     windows = asked.select("query_id", "id", "source", F.explode(F.sequence(F.col("chunk_index") - r, F.col("chunk_index") + r)).alias("at")).join(near, ["source", "at"]).groupBy("query_id", "id").agg(F.collect_list(F.struct("at", "t")).alias("near"))
     rows = asked.join(windows, ["query_id", "id"], "left")
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
+    def fold(hits: list) -> list[tuple]:
         taken: set = set()
         out = []
-        for h in df.sort_values("rank").itertuples(index=False):
+        for h in hits:
             if h.source is None or h.chunk_index is None or h.chunk_index != h.chunk_index:
                 out.append((h.query_id, h.id, h.rank, h.text, 1))
                 continue
@@ -453,7 +454,7 @@ def expand(hits: DataFrame, chunks: DataFrame, radius: int = 1, max_chunks: int
                     i += step
             taken |= {(h.source, i) for i in own}
             out.append((h.query_id, h.id, h.rank, "\n\n".join(texts[i] or "" for i in sorted(own)), len(own)))
-        return pd.DataFrame(out, columns=["query_id", "id", "rank", "text", "n_chunks"])
+        return out
 
     kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
-    return rows.groupBy("query_id").applyInPandas(fold, f"query_id {kinds['query_id']}, id {kinds['id']}, rank int, text string, n_chunks int")
+    return fold_groups(rows, "query_id", ["rank", "id"], fold, f"query_id {kinds['query_id']}, id {kinds['id']}, rank int, text string, n_chunks int")
