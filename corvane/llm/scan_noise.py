@@ -574,9 +574,9 @@ def reflowed(plans: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Lines lose headers and page numbers, words are repaired and broken words joined. SQL windows number the paragraphs:
     within each page or chunk over its lines, across them over one row per item; a paragraph that ends without a stop
-    goes on in the next item.
+    goes on in the next item. An item without a source is a report of its own, one without a place comes first.
     """
-    items = scan_items(plans, chunks)
+    items = scan_items(plans, chunks).withColumn("item", F.coalesce("item", F.lit(""))).withColumn("source", F.coalesce("source", "item")).withColumn("ord", F.coalesce("ord", F.lit(0).cast("bigint")))
     lexicon = items.sparkSession.sparkContext.broadcast(with_contexts(items, lexicon_of(items)))
     noise = written(_judged(items, lexicon), "judged")
     marks = noise.groupBy("item", "page_no").agg(

@@ -293,3 +293,18 @@ def test_held_out_accuracy():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, name):
     assert QUERIES[name](spark, DATA).count() >= 0
+
+
+def test_null_keys(spark):
+    text = "The committee reported that modern equip-\nment was installed in several regions."
+    chunks = spark.createDataFrame([("a", text, None, None, None, None, None, None, None), (None, text, "s", 1, "x.org", "{bad", None, None, None), ("b", text, "s", None, "x.org", None, None, None, None), ("c", "word " * 700, "s", None, None, None, None, None, None)], CHUNK)
+    plans = spark.createDataFrame([(None, None, None, [text, None], None), ("p", None, "null", None, None)], PLAN)
+    assert {(r.item, r.page_no, r.noise) for r in scan_noise.find_noise(plans, chunks).collect()} == {(None, 1, "hyphen"), ("a", 0, "hyphen"), (None, 0, "hyphen"), ("b", 0, "hyphen")}
+    assert scan_noise.reflowed(plans, chunks).count() >= 1
+    assert rows(splitting.oversized(items(plans, chunks))) == [("chunk", "c", 0)]
+    assert repeated_lines.repeated_lines(chunks).count() == 0
+    docs = spark.createDataFrame([(None, "shut up, you filthy idiot", None, None), (1, "fine", "a", None), (1, "fine", "a", None)], DOCS)
+    assert {r.doc_id for r in harm.found(harm.score_documents(docs, empty(spark, LABELS))).collect()} == {None}
+    assert encoding.encode_corpus(docs).count() == 3 and packing.pack_documents(docs).count() == 3
+    m = spark.createDataFrame([(None, None, "Why?", "", None), (2, None, "Why?", "", None)], MESSAGES)
+    assert rows(pairs.bad_pairs(m, empty(spark, VERDICTS))) == [(2, "empty"), (None, "empty")]
