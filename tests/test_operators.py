@@ -261,3 +261,38 @@ def test_fan_out(spark, tmp_path):
     with pytest.raises(ValueError):
         ingest.fan_out(df, [])
     assert files.migrate(spark.createDataFrame([("x",), ("",)], "text string"), str(tmp_path / "m"), 1) == 1
+
+
+def test_bm25_like_brute_force(spark):
+    import math
+    from collections import Counter
+
+    texts = ["the cat sat on the mat", "the dog", "", None, "cat cat dog", "the the the", "Über-größe cat", "mat"]
+    lib = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(2)
+    q = spark.createDataFrame([(1, "CAT the the"), (2, "dog größe"), (3, "nothing"), (4, None)], "query_id bigint, query string")
+    docs = [(t or "").lower().replace("-", " ").split() for t in texts]
+    avg = sum(map(len, docs)) / len(docs)
+    want = set()
+    for qid, query in ((1, {"cat", "the"}), (2, {"dog", "größe"})):
+        scores = {}
+        for i, d in enumerate(docs):
+            tf = Counter(d)
+            for t in query & tf.keys():
+                df = sum(t in x for x in docs)
+                scores[i] = scores.get(i, 0) + math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / avg))
+        for rank, i in enumerate(sorted(scores, key=lambda i: (-round(scores[i], 6), i))[:3], 1):
+            want.add((qid, i, round(scores[i], 6), rank))
+    assert {tuple(r) for r in search.bm25_topk(lib, q, 3, row_block=3, query_block=1).collect()} == want
+    assert search.bm25_topk(lib.limit(0), q, 3).count() == 0
+
+
+def test_groups_across_batches(spark):
+    from corvane.operators.groups import fold_groups
+
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = fold_groups(df, "k", ["v"], lambda rows: [(rows[0].k, len(rows), rows[0].v)], "k bigint, n int, first bigint").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == [(k, len(range(k, 1000, 7)), k) for k in range(7)]
