@@ -58,8 +58,11 @@ def publisher_norm(domain: Column) -> Column:
 
 
 # Names of organisations by kind.
-CONSULTANCIES = ("mckinsey", "bcg", "bain", "deloitte", "pwc", "kpmg", "ey", "accenture", "rolandberger", "oliverwyman", "gartner", "forrester")
-INTERGOVERNMENTAL = ("oecd", "worldbank", "imf", "who", "wto", "un", "unesco", "europa", "weforum", "iea", "ilo", "fao")
+CONSULTANCIES = (
+    "mckinsey", "bcg", "bain", "deloitte", "pwc", "kpmg", "ey", "accenture", "gartner", "forrester", "idc", "oliverwyman",
+    "rolandberger", "kearney", "strategyand", "capgemini",
+)
+INTERGOVERNMENTAL = ("worldbank", "imf", "oecd", "un", "wto", "weforum", "europa", "iea", "who", "unctad")
 
 
 def classify_source_type(domain: Column) -> Column:
@@ -67,7 +70,7 @@ def classify_source_type(domain: Column) -> Column:
     labels = F.filter(F.split(publisher_norm(domain), r"\."), lambda x: x != "")
     n = F.size(labels)
     tld = F.when(n > 0, F.element_at(labels, -1)).otherwise("")
-    sld = F.when(n > 1, F.get(labels, n - 2)).otherwise("")
+    sld = F.when(n > 1, F.get(labels, n - 2)).when(n > 0, F.get(labels, F.lit(0))).otherwise("")
     return (
         F.when(sld.isin(*CONSULTANCIES), "consultancy")
         .when(sld.isin(*INTERGOVERNMENTAL) | tld.isin("gov", "mil", "int"), "government")
@@ -79,9 +82,8 @@ def classify_source_type(domain: Column) -> Column:
 
 
 def manifest_year(detected: Column, score: Column) -> Column:
-    """The first four-digit year of the detected year, else of the score; empty if neither has one."""
-    year = lambda c: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?:19|20)\d{2}", 0), F.lit(""))
-    return F.coalesce(year(detected), year(score), F.lit(""))
+    """The first four-digit year of what was detected, or of the score where nothing was; empty if that has none."""
+    return F.regexp_extract(F.coalesce(F.nullif(detected, F.lit("")), score, F.lit("")), r"(?:19|20)\d{2}", 0)
 
 
 def citation_source(*candidates: Column) -> Column:
@@ -100,7 +102,7 @@ def snippet(text: Column, anchor: Column, around: int = 140, plain: int = 280) -
     """The text around the first occurrence of the anchor with white space collapsed; without it the beginning."""
     at = F.position(anchor, text)
     start = F.greatest(F.lit(1), at - around)
-    near = F.substring(text, start, at + F.length(anchor) + around - start)
+    near = F.substring(text, start, at + around - start)
     return F.trim(F.regexp_replace(F.when(at > 0, near).otherwise(F.substring(text, 1, plain)), WS, " "))
 
 
@@ -140,15 +142,16 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-_PUNCT = re.compile(r"\s+([.,;:!?])")
+_BEFORE_MARK = re.compile(r"[ \t]+([,.;:!?])")
+_LINE_END = re.compile(r"[ \t]+$", re.MULTILINE)
 
 
 def renumber(answer: str | None, mapping: dict[int, int]) -> str | None:
-    """Local markers become global ones; markers that can't be resolved go; blanks are tidied."""
+    """Local markers become global ones; markers that can't be resolved go; blanks are single, none before marks or at line ends."""
     if answer is None:
         return None
     out = re.sub(r"\[(\d+)\]", lambda m: f"[{mapping[int(m[1])]}]" if int(m[1]) in mapping else "", answer)
-    return _PUNCT.sub(r"\1", re.sub(r"[ \t]{2,}", " ", out)).rstrip()
+    return _LINE_END.sub("", _BEFORE_MARK.sub(r"\1", re.sub(r"[ \t]{2,}", " ", out)))
 
 
 @F.pandas_udf(StringType())

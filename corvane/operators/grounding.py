@@ -8,13 +8,14 @@ from pyspark.sql.window import Window
 
 from corvane.functions.text import cited_indices, invalid_citations, renumber_udf
 
-ABSTENTION = "I could not find this in the library."
+# Fixed value: what is said instead of an answer.
+ABSTENTION = "I couldn't find that in the reports I have access to, so I can't answer it reliably. Try rephrasing, or ask about a topic the reports cover."
 
 
 def caveat(answer: Column, n_hits: Column) -> Column:
     """The answer, with a note on markers that name no hit."""
     bad = invalid_citations(answer, n_hits)
-    note = F.concat(F.lit("\n\nNote: no source for "), F.array_join(F.transform(bad, lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))), ", "), F.lit("."))
+    note = F.concat(F.lit("\n\n_Note: "), F.array_join(F.transform(bad, lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))), ", "), F.lit(" could not be matched to a retrieved source and may be unreliable._"))
     return F.when(F.size(bad) > 0, F.concat(answer, note)).otherwise(answer)
 
 
@@ -28,8 +29,10 @@ def gate(answers: DataFrame, model_verdict: str | None = None) -> DataFrame:
     none = F.col("n_hits") == 0
     unsupported = F.coalesce(F.upper(F.col(model_verdict)).startswith("UNSUPPORTED"), F.lit(False)) if model_verdict else F.lit(False)
     return answers.withColumn("invalid", bad).withColumn("grounded", ~none & (F.size("invalid") == 0) & ~unsupported).withColumn(
-        "reason", F.when(none, "nothing retrieved").when(F.size("invalid") > 0, "marker without source").when(unsupported, "unsupported").otherwise("")
-    ).withColumn("abstention", F.when(none | (unsupported & (F.size("invalid") == 0)), F.lit(ABSTENTION)))
+        "reason",
+        F.when(none, "no supporting context").when(unsupported, "llm judged the answer unsupported by context")
+        .when(F.size("invalid") > 0, F.concat(F.lit("citations outside context 1-"), F.col("n_hits").cast("string"), F.lit(": ["), F.array_join(F.col("invalid").cast("array<string>"), ", "), F.lit("]"))).otherwise(""),
+    ).withColumn("abstention", F.when(none | unsupported, F.lit(ABSTENTION)))
 
 
 def node_gate(nodes: DataFrame) -> DataFrame:
@@ -74,4 +77,4 @@ def synthesize(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     texts = mapped.filter(F.coalesce(F.trim("summary"), F.lit("")) != "").withColumn("text", renumber_udf("summary", "mapping"))
     answers = texts.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n\n").alias("answer"))
     count = numbered.groupBy("run_id").agg(F.count("*").alias("n_sources"))
-    return nodes.select("run_id").distinct().join(answers, "run_id", "left").join(count, "run_id", "left").select("run_id", F.coalesce("answer", F.lit("No results.")).alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
+    return nodes.select("run_id").distinct().join(answers, "run_id", "left").join(count, "run_id", "left").select("run_id", F.coalesce("answer", F.lit("No results were produced for this request.")).alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))

@@ -109,7 +109,7 @@ def inject_figures(page: Column, texts: Column) -> Column:
     """The k-th image mark becomes the k-th text between blank lines; empty texts drop it; on another number of texts all
     marks go and the texts are appended."""
     parts = F.split(page, _MARK)
-    said = lambda t: F.coalesce(F.trim(t), F.lit("")) != ""
+    said = lambda t: F.coalesce(t, F.lit("")) != ""
     spliced = F.array_join(F.zip_with(parts, F.concat(texts, F.array(F.lit(""))), lambda p, t: F.concat(p, F.when(said(t), F.concat(F.lit("\n\n"), t, F.lit("\n\n"))).otherwise(""))), "")
     kept = F.filter(texts, said)
     appended = F.concat(F.array_join(parts, ""), F.when(F.size(kept) > 0, F.concat(F.lit("\n\n"), F.array_join(kept, "\n\n"))).otherwise(""))

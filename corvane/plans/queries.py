@@ -137,15 +137,15 @@ def publisher_norm(spark, d):
 
 
 @query("""WITH p AS (SELECT publisher, list_filter(string_split(regexp_replace(regexp_replace(lower(trim(publisher)), '\\.example$', ''), '^www\\.', ''), '.'), lambda x: x <> '') AS l FROM publishers),
-  s AS (SELECT publisher, l, CASE WHEN len(l) > 0 THEN l[-1] ELSE '' END AS tld, CASE WHEN len(l) > 1 THEN l[-2] ELSE '' END AS sld FROM p)
-  SELECT publisher, CASE WHEN sld IN ('mckinsey','bcg','bain','deloitte','pwc','kpmg','ey','accenture','rolandberger','oliverwyman','gartner','forrester') THEN 'consultancy'
-    WHEN sld IN ('oecd','worldbank','imf','who','wto','un','unesco','europa','weforum','iea','ilo','fao') OR tld IN ('gov','mil','int') THEN 'government'
+  s AS (SELECT publisher, l, CASE WHEN len(l) > 0 THEN l[-1] ELSE '' END AS tld, CASE WHEN len(l) > 1 THEN l[-2] WHEN len(l) > 0 THEN l[1] ELSE '' END AS sld FROM p)
+  SELECT publisher, CASE WHEN sld IN ('mckinsey','bcg','bain','deloitte','pwc','kpmg','ey','accenture','gartner','forrester','idc','oliverwyman','rolandberger','kearney','strategyand','capgemini') THEN 'consultancy'
+    WHEN sld IN ('worldbank','imf','oecd','un','wto','weforum','europa','iea','who','unctad') OR tld IN ('gov','mil','int') THEN 'government'
     WHEN tld = 'edu' OR list_contains(l, 'ac') THEN 'academic' WHEN tld = 'org' THEN 'association' WHEN tld IN ('com','net','io','ai','co','biz') THEN 'company' ELSE '' END AS source_type FROM s""")
 def classify_source_type(spark, d):
     return table(spark, d, "publishers").select("publisher", X.classify_source_type(F.regexp_replace("publisher", r"\.example$", "")).alias("source_type"))
 
 
-@query("SELECT doc_id, coalesce(nullif(regexp_extract(coalesce(published_date, ''), '(?:19|20)[0-9]{2}'), ''), nullif(regexp_extract(coalesce(title, ''), '(?:19|20)[0-9]{2}'), ''), '') AS year FROM documents")
+@query("SELECT doc_id, regexp_extract(coalesce(nullif(published_date, ''), title, ''), '(?:19|20)[0-9]{2}') AS year FROM documents")
 def manifest_year(spark, d):
     return table(spark, d, "documents").select("doc_id", X.manifest_year(F.col("published_date"), F.col("title")).alias("year"))
 
@@ -158,7 +158,7 @@ def numeric_anchors(spark, d):
     return m.select("seq", F.array_join(X.numeric_anchors(F.col("answer")), "|").alias("anchors")).filter("anchors <> ''")
 
 
-@query("""SELECT doc_id, trim(regexp_replace(CASE WHEN instr(text, 'market') > 0 THEN substr(text, greatest(1, instr(text, 'market') - 140), instr(text, 'market') + 6 + 140 - greatest(1, instr(text, 'market') - 140)) ELSE substr(text, 1, 280) END,
+@query("""SELECT doc_id, trim(regexp_replace(CASE WHEN instr(text, 'market') > 0 THEN substr(text, greatest(1, instr(text, 'market') - 140), instr(text, 'market') + 140 - greatest(1, instr(text, 'market') - 140)) ELSE substr(text, 1, 280) END,
   '[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS snippet FROM documents""")
 def snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", X.snippet(F.col("text"), F.lit("market")).alias("snippet"))
@@ -504,8 +504,9 @@ def page_stats(spark, d):
 
 
 @query("""WITH h AS (SELECT seq, count(DISTINCT hit_rank) AS n FROM hits GROUP BY seq), m AS (SELECT DISTINCT seq, answer FROM messages WHERE answer IS NOT NULL),
-  b AS (SELECT m.seq, coalesce(h.n, 0) AS n_hits, len(list_filter(list_transform(regexp_extract_all(answer, '\\[([0-9]{1,9})\\]', 1), lambda x: x::INT), lambda x: x < 1 OR x > coalesce(h.n, 0))) > 0 AS bad FROM m LEFT JOIN h USING (seq))
-  SELECT seq, n_hits, n_hits > 0 AND NOT bad AS grounded, CASE WHEN n_hits = 0 THEN 'nothing retrieved' WHEN bad THEN 'marker without source' ELSE '' END AS reason FROM b""")
+  k AS (SELECT m.seq, coalesce(h.n, 0) AS n_hits, list_transform(regexp_extract_all(answer, '\\[([0-9]{1,9})\\]', 1), lambda x: x::INT) AS l FROM m LEFT JOIN h USING (seq)),
+  b AS (SELECT seq, n_hits, list_filter(l, lambda x, i: list_position(l, x) = i AND (x < 1 OR x > n_hits)) AS bad FROM k)
+  SELECT seq, n_hits, n_hits > 0 AND len(bad) = 0 AS grounded, CASE WHEN n_hits = 0 THEN 'no supporting context' WHEN len(bad) > 0 THEN 'citations outside context 1-' || n_hits || ': [' || array_to_string(bad, ', ') || ']' ELSE '' END AS reason FROM b""")
 def grounding_gate(spark, d):
     return grounding.gate(_answers(spark, d)).select("seq", "n_hits", "grounded", "reason")
 

@@ -42,7 +42,7 @@ def test_atomic_blocks():
     assert chunking.markdown_chunks("| a |\n| b |", 1, 0) == ["| a |\n| b |"]
 
 
-@pytest.mark.parametrize("pieces", [[], ["aa"], ["aaaaa"], ["a", "b", "cccccc", "d"], ["aaa", "bbb", "c"]])
+@pytest.mark.parametrize("pieces", [[], ["aa"], ["aaaaa"], ["a", "b", "cccccc", "d"], ["aaa", "bbb", "c"], ["", "aaaaaa", "", "b", ""]])
 def test_coalesce_fold_like_plain(spark, pieces):
     df = spark.createDataFrame([(pieces,)], "p array<string>").select(chunking.coalesce_small(F.col("p"), 5).alias("x"))
     assert df.head()["x"] == chunking.coalesced(pieces, 5)
@@ -128,7 +128,7 @@ def test_expansion_consumes(spark):
 def test_gate(spark):
     df = spark.createDataFrame([(1, "a [1]", 1), (2, "a [3]", 1), (3, "a", 0), (4, None, 2)], "seq int, answer string, n_hits int")
     got = {r.seq: (r.grounded, r.reason, r.abstention is not None) for r in grounding.gate(df).collect()}
-    assert got == {1: (True, "", False), 2: (False, "marker without source", False), 3: (False, "nothing retrieved", True), 4: (True, "", False)}
+    assert got == {1: (True, "", False), 2: (False, "citations outside context 1-1: [3]", False), 3: (False, "no supporting context", True), 4: (True, "", False)}
 
 
 def test_merge_sources(spark):

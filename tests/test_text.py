@@ -20,9 +20,9 @@ def test_source_type(spark, host, kind):
 
 
 def test_year_prefers_detected(spark):
-    assert one(spark, X.manifest_year(F.col("a"), F.col("b")), a="0", b="y2019x") == "2019"
+    assert one(spark, X.manifest_year(F.col("a"), F.col("b")), a="", b="y2019x") == "2019"
     assert one(spark, X.manifest_year(F.col("a"), F.col("b")), a="FY2018", b="2019") == "2018"
-    assert one(spark, X.manifest_year(F.col("a"), F.col("b")), a="0", b=None) == ""
+    assert one(spark, X.manifest_year(F.col("a"), F.col("b")), a="0", b="2019") == ""
 
 
 def test_words_by_unicode_blanks(spark):
@@ -38,6 +38,7 @@ def test_citations(spark):
 
 def test_renumber_tidies():
     assert X.renumber("a [1] b [2] , c [3] .", {1: 4, 3: 5}) == "a [4] b, c [5]."
+    assert X.renumber("x [9] \ny\n ,", {}) == "x\ny\n,"
     assert X.renumber(None, {}) is None
 
 
