@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql.replace("{LIB}", _LIB).replace("{DENSE}", _DENSE).replace("{BM25}", _BM25).replace("{LAST}", _LAST).replace("{TASKS}", _TASKS)
+            ORACLES[f.__name__] = sql.replace("{LIB}", _LIB).replace("{DENSE}", _DENSE).replace("{BM25}", _BM25).replace("{LAST}", _LAST).replace("{TASKS}", _TASKS).replace("{LOG}", _LOG)
         return f
 
     return add
@@ -52,6 +52,8 @@ _TASKS = """ev AS (SELECT user_id AS task_id, ts, CASE event_type WHEN 'signup'
   st AS (SELECT task_id, count(*) FILTER (event = 'claimed') AS attempts, count(*) FILTER (event = 'acked') AS acks, max(ts) AS last_ts FROM ev GROUP BY task_id),
   state AS (SELECT task_id, CASE WHEN acks > 0 THEN 'done' WHEN attempts > 3 THEN 'dead' WHEN attempts > 0 THEN 'inflight' ELSE 'pending' END AS state, attempts, last_ts FROM st)"""
 
+_LOG = _TASKS.replace(" WHERE ts < TIMESTAMP '2024-01-03'", "")  # the same over the whole log
+
 
 def library(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
@@ -654,10 +656,15 @@ def retrieve_corpus(spark, d):
 # ---------------------------------------------------------------- tasks, namespaces, plans
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
+def _log(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_type")
     name = F.when(e == "signup", "enqueued").when(e == "click", "claimed").when(e == "purchase", "acked").otherwise(e)
-    return table(spark, d, "events").filter(F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz")).select(F.col("user_id").alias("task_id"), "ts", name.alias("event"))
+    return table(spark, d, "events").select(F.col("user_id").alias("task_id"), "ts", name.alias("event"))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Only the log's first two days, as in the SQL of these queries; those named `log_*` read the whole log."""
+    return _log(spark, d).filter(F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz"))
 
 
 @query("WITH {TASKS} SELECT task_id, state, attempts, last_ts FROM state")
@@ -742,6 +749,36 @@ def run_view(spark, d):
     return agents.run_view(runs, runs.filter("event = 'acked'").select("run_id"), agents.task_state(ev))
 
 
+@query("WITH {LOG} SELECT task_id, state, attempts, last_ts FROM state")
+def log_task_state(spark, d):
+    return agents.task_state(_log(spark, d))
+
+
+@query("WITH {LOG} SELECT task_id, attempts FROM state WHERE state = 'inflight' AND last_ts <= (SELECT max(ts) FROM ev) - INTERVAL 5 SECOND")
+def log_reclaimable(spark, d):
+    ev = _log(spark, d)
+    now = ev.agg(F.max("ts").alias("now"))
+    return agents.reclaimable(agents.task_state(ev).crossJoin(now), F.col("now")).select("task_id", "attempts")
+
+
+@query("WITH {LOG} SELECT task_id, attempts FROM state WHERE state = 'dead'")
+def log_dead_letter(spark, d):
+    return agents.task_state(_log(spark, d)).filter("state = 'dead'").select("task_id", "attempts")
+
+
+@query("WITH {LOG} SELECT count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'inflight') AS inflight, count(*) FILTER (state = 'dead') AS dead, count(*) FILTER (state = 'done') AS done FROM state")
+def log_queue_stats(spark, d):
+    return agents.queue_stats(agents.task_state(_log(spark, d)))
+
+
+@query("""WITH {LOG}, l AS (SELECT task_id AS run_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS latest FROM ev GROUP BY 1), r AS (SELECT task_id AS run_id, count(*) AS n_results FROM ev WHERE event = 'acked' GROUP BY 1)
+  SELECT run_id, n_events, first_ts, latest AS last_ts, coalesce(n_results, 0) AS n_results, state FROM l LEFT JOIN r USING (run_id) LEFT JOIN state ON task_id = run_id""")
+def log_run_view(spark, d):
+    ev = _log(spark, d)
+    runs = ev.withColumnRenamed("task_id", "run_id")
+    return agents.run_view(runs, runs.filter("event = 'acked'").select("run_id"), agents.task_state(ev))
+
+
 @query("SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS seq, ts, event_type AS event FROM events")
 def run_ledger(spark, d):
     return agents.ledger(table(spark, d, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", F.col("event_type").alias("event")))

@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import agents, chunking, evaluate, grounding, ingest, search
+from corvane.plans.queries import QUERIES
 from corvane.sources import files
 from corvane.streaming import queue
+from corvane.tables import table
+from tests.conftest import DATA
 
 
 def rows(df):
@@ -296,3 +299,9 @@ def test_groups_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(tuple, got)) == [(k, len(range(k, 1000, 7)), k) for k in range(7)]
+
+
+def test_log_queries_read_every_event(spark):
+    events = table(spark, DATA, "events")
+    got = QUERIES["log_run_view"](spark, DATA).collect()
+    assert sum(r.n_events for r in got) == events.count() and len(got) == events.select("user_id").distinct().count()
