@@ -1,7 +1,8 @@
 """Every query of the core by name: (SparkSession, folder of tables) -> DataFrame, and the SQL that gives the same rows.
 
 The library of these queries: every document is a row; its vector is that of `vec_id = doc_id mod 500`. Queries of a
-search are the rows whose id is divisible by 20, against all rows.
+search are the rows whose id is divisible by 20, against all rows. vectors_topk and the IVF queries search the
+embeddings table itself, every vector of it.
 """
 
 from __future__ import annotations
@@ -418,10 +419,30 @@ def rank_all(spark, d):
     return search.dense_topk(library(spark, d), list(q), 100_000)
 
 
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every vector of the table, and those of the queries among them."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return v, v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) + 0.0 AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
+  SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def vectors_topk(spark, d):
+    return search.dense_topk_batch(*_vectors(spark, d), 10)
+
+
 @query()
 def ivf_topk(spark, d):
-    lib = library(spark, d).select("id", "embedding")
-    return search.ivf_topk(lib, asked(library(spark, d)), 10, search.kmeans_centers(lib, 16), 6)
+    vectors, queries = _vectors(spark, d)
+    return search.ivf_topk(vectors, queries, 10, search.kmeans_centers(vectors, 16), 6)
+
+
+@query()
+def ivf_recall(spark, d):
+    """The share of the exact top 10 that ivf_topk finds, with its parameters."""
+    exact = vectors_topk(spark, d).select("query_id", "id")
+    found = ivf_topk(spark, d).select("query_id", "id").withColumn("hit", F.lit(1))
+    return exact.join(found, ["query_id", "id"], "left").agg(F.count("*").alias("n_exact"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
 def _chunk_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

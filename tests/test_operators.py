@@ -305,3 +305,12 @@ def test_log_queries_read_every_event(spark):
     events = table(spark, DATA, "events")
     got = QUERIES["log_run_view"](spark, DATA).collect()
     assert sum(r.n_events for r in got) == events.count() and len(got) == events.select("user_id").distinct().count()
+
+
+def test_ivf_searches_every_vector(spark):
+    v = table(spark, DATA, "embeddings").select("vec_id").collect()
+    got = QUERIES["ivf_topk"](spark, DATA).collect()
+    assert {r.query_id for r in got} == {r.vec_id for r in v if r.vec_id % 20 == 0}
+    assert {(r.query_id, r.rank) for r in got if r.id == r.query_id} == {(r.vec_id, 1) for r in v if r.vec_id % 20 == 0}
+    recall = QUERIES["ivf_recall"](spark, DATA).head()
+    assert recall.n_exact == 10 * len({r.query_id for r in got}) and recall.n_found > 0
