@@ -170,6 +170,14 @@ class Turn:
             out.append((f, sum(c.isalnum() for c in text) if kind != "fence" else 0))
         return out
 
+    def finished(self, raw: str) -> bool:
+        """Whether an earlier clause is a sentence with its end, and not the question again."""
+        text = _MARKER.sub("", raw).strip()
+        words = _words(text)
+        if self.echo(text)[0] >= 0.85:
+            return False
+        return len(words) > 1 and bool(_END.search(text)) or text.endswith(";") and len(words) > 3 and any(w in _WORD_LANGS for w in words)
+
     def cut(self, kind: str, raw: str) -> bool:
         """Whether the last clause breaks off."""
         if self.fences % 2:
@@ -191,6 +199,10 @@ class Turn:
             return False
         if text[-1] in ",;:-–(":
             return True
+        # After finished sentences whatever has no end mark is cut; names and figures are left alone as the whole answer.
+        own, asked = self.echo(text)
+        if any(k == "prose" and self.finished(x) for k, x in self.clauses[:-1]) and not (own >= 0.8 and asked >= 0.5):
+            return True
         # Names, figures and headings end without a mark; sentences don't.
         return len(words) > 3 and any(w in _WORD_LANGS for w in words) and self.echo(text)[0] < 0.8
 

@@ -237,6 +237,16 @@ TURNS = {
 }
 
 
+@pytest.mark.parametrize(
+    ("answer", "cut"),
+    [("It rose by 3% in the harvest year. Short- and", True), ("It rose by 3% in the harvest year [1]. The", True), ("It rose by 3% in the harvest year. How did", True), ("It rose by 3% in the harvest year. Gorbratek Advisory outso", True), ("It rose because of the harvest; the revi", True),
+     ("Norland, Sudland", False), ("7.1% [2]", False), (f"{Q} 4.1%", False), ("It rose by 3% in the harvest year. The demand fell.", False)],
+)
+def test_short_rest_of_a_sentence_is_cut(answer, cut):
+    turn = pairs.Turn(Q, answer, [])
+    assert ("cut" in turn.features()[-1][0]) is cut
+
+
 def test_defects(spark):
     turns = [(i, d, a) for i, (d, a) in enumerate((d, a) for d, answers in TURNS.items() for a in answers)]
     more = [(100 + i, Q.replace("Norland", f"Land{i}"), f"In Land{i}, the storage of grain grew by {i}.1% in 2019 because of the harvest [1]. The demand was stable.") for i in range(60)]
