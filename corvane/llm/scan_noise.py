@@ -328,26 +328,28 @@ def lines_of(text: str, report: Report, lexicon: Lexicon | None):
             subjects.append((k, apart[i]))
     # What may be a header is looked behind, at both ends and after a hyphen.
     first = [(kept[i][1].split(None, 1)[0], kept[i][0]) for i in range(min(2, len(kept))) if i == 0 or apart[0]]
-    carried = False
+    carried = None
     last = len(kept) - 1
     for i, (k, s) in enumerate(kept):
-        cut = s[-1] in _HYPHENS and len(s) > 1 and not s[-2].isspace()
+        cut, joined = s[-1] in _HYPHENS and len(s) > 1 and not s[-2].isspace(), None
         if cut:
             word = s.rsplit(None, 1)[-1]
-            if i == last or (i + 1 == last and apart[last]):
-                pending = (word, word[-1], k)
             if lexicon:
                 for n, following in [x for j, x in enumerate(kept[i + 1 : i + 3]) if j == 0 or apart[i + 1]]:
                     following = following.split(None, 1)[0]
                     if lexicon.joins(word, following, word[-1]):
+                        joined = n
                         rows.append((k, "hyphen"))
                         rows += [(n if side else k, "misread") for side in broken_misread(word, following, lexicon)]
                         break
+            if joined is None and (i == last or (i + 1 == last and apart[last])):
+                pending = (word, word[-1], k)
         if suspects and s[0] != "|":
             words = s.split()
-            if not suspects.isdisjoint(words[1 if carried else 0 : -1 if cut else None]):
+            # The halves of a joined word are read as one; those of a compound that keeps its hyphen on their own.
+            if not suspects.isdisjoint(words[1 if k == carried else 0 : -1 if joined or pending and pending[2] == k else None]):
                 rows.append((k, "misread"))
-        carried = cut
+        carried = joined or carried
     return rows, first, pending, bare, subjects
 
 
@@ -511,6 +513,9 @@ def _continued(rows: DataFrame, lexicon) -> DataFrame:
                         out.append((item, page, line, "hyphen"))
                         out += [(item2, page2, int(line2), "misread") if side else (item, page, line, "misread") for side in broken_misread(cut, word, lex)]
                         break
+                else:  # a compound: its other half was read with its own line
+                    if lex.suspects({cut}):
+                        out.append((item, page, line, "misread"))
             if out:
                 yield pd.DataFrame(out, columns=["item", "page_no", "line_no", "noise"])
 

@@ -216,6 +216,20 @@ def test_noise(spark):
     assert "modern equipment was installed in several regions and low-cost financing of information remained incomplete in several regions." in text
 
 
+LEXICON = {"small": 900, "business": 900, "reading": 900, "document": 900, "small-business": 90, "document-reading": 90, "investment": 900, "the": 9000, "owners": 900, "grew": 900, "old": 900}
+
+
+def noise_in(text):
+    return sorted(scan_noise.lines_of(text, scan_noise.Report(None, None, None), scan_noise.Lexicon(LEXICON, 20_000))[0])
+
+
+def test_halves_of_compounds_are_read():
+    assert noise_in("the old document-\nreadin9 grew the") == [(2, "misread")]
+    assert noise_in("the old sma1l-\nbusiness owners grew") == [(1, "misread")]
+    assert noise_in("the old small-\nbusiness owners grew") == []
+    assert noise_in("the old inves-\ntment grew the") == [(1, "hyphen")]
+
+
 def test_noise_of_nothing(spark):
     assert scan_noise.find_noise(empty(spark, PLAN), empty(spark, CHUNK)).count() == 0
     blank = spark.createDataFrame([("c", None, "s", 0, None, None, None, None, None), ("d", " \n", None, None, None, None, None, None, None)], CHUNK)
