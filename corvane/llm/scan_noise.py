@@ -198,6 +198,8 @@ _PAGE_WORDS = {skeleton(w) for w in ("page", "seite", "página", "pagina", "pag"
 _ROMAN = re.compile(r"^[-–(\[]?\s*(?=[ivxlc])(c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))\s*[-–)\]]?$")
 _BARE = re.compile(r"^[0-9lIOoSs]{1,4}$")
 _NUMBER_LINE = re.compile(r"^[\s\d.,()%+\-–]+$")
+#: A row of a table; a line that only begins with the glyph may be a misread letter.
+_TABLE_ROW = re.compile(r"^\|\s.*\|")
 _SEPARATORS = re.compile(r"\s*\|\s*|\s[–—·•]\s|\s{3,}|\t+")
 _NUMERIC_TOKEN = re.compile(r"^[\-–(\[]*(?=\S*\d)[0-9lIOoSs|!.,/]+[\-–)\]]*$|^[ivxlc]+$")
 
@@ -344,7 +346,7 @@ def lines_of(text: str, report: Report, lexicon: Lexicon | None):
                         break
             if joined is None and (i == last or (i + 1 == last and apart[last])):
                 pending = (word, word[-1], k)
-        if suspects and s[0] != "|":
+        if suspects and not _TABLE_ROW.match(s):
             words = s.split()
             # The halves of a joined word are read as one; those of a compound that keeps its hyphen on their own.
             if not suspects.isdisjoint(words[1 if k == carried else 0 : -1 if joined or pending and pending[2] == k else None]):

@@ -230,6 +230,11 @@ def test_halves_of_compounds_are_read():
     assert noise_in("the old inves-\ntment grew the") == [(1, "hyphen")]
 
 
+def test_lines_that_begin_with_a_misread_letter():
+    assert noise_in("|nvestment grew the old") == [(1, "misread")]
+    assert noise_in("| |nvestment | sma1l |") == []
+
+
 def test_noise_of_nothing(spark):
     assert scan_noise.find_noise(empty(spark, PLAN), empty(spark, CHUNK)).count() == 0
     blank = spark.createDataFrame([("c", None, "s", 0, None, None, None, None, None), ("d", " \n", None, None, None, None, None, None, None)], CHUNK)
