@@ -543,12 +543,25 @@ def _judged(items: DataFrame, lexicon) -> DataFrame:
     subjects = rows.filter("noise = 'subject'").join(scans, ["kind", "source"], "left_semi")
     again = subjects.select("kind", "source", "word", "item", "page_no", "line_no").distinct().groupBy("kind", "source", "word").agg(F.count("*").alias("n")).filter("n >= 2").select("kind", "source", "word")
     headers = rows.filter("noise = 'header'").join(often, ["kind", "source"], "left_semi").select(*key).unionByName(subjects.join(again, ["kind", "source", "word"], "left_semi").withColumn("noise", F.lit("header")).select(*key))
-    # A bare number is that of the page if the report counts on with it, or if it has no other bare numbers.
+    # A bare number is that of the page if the report counts on with it, if two pages of the report are as far from their
+    # place, if it follows or precedes another one within few chunks, or if the report has no other that may be one.
     bare = distinct.filter("noise = 'bare'")
     runs = bare.select("kind", "source", F.explode(F.array(F.col("number") - 1, F.col("number") + 1)).alias("number")).distinct()
     forms = distinct.filter("noise = 'page_number'").select("kind", "source").distinct()
-    alone = bare.groupBy("kind", "source").agg(F.count("*").alias("n")).filter("n = 1").join(forms, ["kind", "source"], "left_anti").select("kind", "source")
-    numbers = bare.join(runs, ["kind", "source", "number"], "left_semi").unionByName(bare.filter("number < 1000").join(alone, ["kind", "source"], "left_semi")).withColumn("noise", F.lit("page_number"))
+    small = bare.filter("number < 1000")
+    alone = small.groupBy("kind", "source").agg(F.count("*").alias("n")).filter("n = 1").join(forms, ["kind", "source"], "left_anti").select("kind", "source")
+    offset = small.filter("kind = 'page'").withColumn("offset", F.col("number") - F.col("page_no"))
+    steady = offset.groupBy("source", "offset").agg(F.count_distinct("page_no").alias("n")).filter("n >= 2").select("source", "offset")
+    placed = offset.join(steady, ["source", "offset"], "left_semi").select(*key)
+    order = Window.partitionBy("source").orderBy("ord", "item", "line_no")
+    counted = small.filter("kind = 'chunk'")
+    for i in (1, 2):
+        counted = counted.withColumn(f"b{i}", F.lag(F.struct("number", "ord"), i).over(order)).withColumn(f"a{i}", F.lead(F.struct("number", "ord"), i).over(order))
+    follows = lambda x, y: (y("number") > x("number")) & (y("number") - x("number") <= 2 * F.greatest(F.lit(1), y("ord") - x("ord")))
+    own, at = F.col, lambda c: lambda f: F.col(f"{c}.{f}")
+    near = [F.coalesce(c, F.lit(False)) for i in (1, 2) for c in (follows(at(f"b{i}"), own), follows(own, at(f"a{i}")))]
+    counted = counted.filter(near[0] | near[1] | near[2] | near[3]).select(*key)
+    numbers = bare.join(runs, ["kind", "source", "number"], "left_semi").select(*key).unionByName(small.join(alone, ["kind", "source"], "left_semi").select(*key)).unionByName(placed).unionByName(counted).withColumn("noise", F.lit("page_number"))
     sure = rows.filter(F.col("noise").isin("hyphen", "misread", "page_number")).select(*key).unionByName(_continued(rows.filter(F.col("noise").isin("first", "pending")), lexicon).select(*key))
     # A header is only that.
     sure = sure.join(headers.select("item", "page_no", "line_no"), ["item", "page_no", "line_no"], "left_anti").select(*key)

@@ -235,6 +235,14 @@ def test_lines_that_begin_with_a_misread_letter():
     assert noise_in("| |nvestment | sma1l |") == []
 
 
+def test_page_numbers_with_gaps(spark):
+    said = "The harvest was good.\nIt rose again."
+    plans = [("gap", None, None, [f"{said}\n10", said, f"{said}\n12", said], "pdf"), ("year", None, None, [f"{said}\n407", f"2018\n{said}"], "pdf")]
+    chunks = [(f"c{i}", f"{said}\n{n}", "s", i, None, None, None, None, None) for i, n in ((0, 43), (1, 44), (3, 46), (5, 48), (6, 900))]
+    got = rows(scan_noise.find_noise(spark.createDataFrame(plans, PLAN), spark.createDataFrame(chunks, CHUNK)))
+    assert got == [(f"c{i}", 0, 3, "page_number") for i in (0, 1, 3, 5)] + [("gap", 1, 3, "page_number"), ("gap", 3, 3, "page_number"), ("year", 1, 3, "page_number")]
+
+
 def test_noise_of_nothing(spark):
     assert scan_noise.find_noise(empty(spark, PLAN), empty(spark, CHUNK)).count() == 0
     blank = spark.createDataFrame([("c", None, "s", 0, None, None, None, None, None), ("d", " \n", None, None, None, None, None, None, None)], CHUNK)
