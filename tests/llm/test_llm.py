@@ -99,6 +99,12 @@ def test_best_fit_keeps_every_capacity(sizes, rule):
         assert len(set(own.tolist())) <= 2 * max(-(-sizes.sum() // 100), -(-len(sizes) // 7)) + 1
 
 
+def test_attention_binds_only_below_the_square_of_the_capacity():
+    sizes = np.array([50, 50, 50, 50])
+    assert len(set(packing.best_fit(sizes, 100))) == len(set(packing.best_fit(sizes, 100, attention=100.0**2))) == 2
+    assert len(set(packing.best_fit(sizes, 100, attention=4999.0))) == 4
+
+
 def test_containers(spark):
     random.seed(3)
     sizes = [(i, random.choice([0, 3, 40, 400, 1500, 2048, 5000])) for i in range(500)] + [(1000, None)]
