@@ -1,7 +1,9 @@
 import base64
 import random
+import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -297,37 +299,86 @@ DOCS = "doc_id bigint, text string, source string, abusive string"
 LABELS = "doc_id bigint, label string, source string"
 
 
+def told(text):
+    p = harm.passages([text])
+    return [p.told(i) for i in range(len(p.begin))]
+
+
 def test_disguises_fold():
     for bad in ("filthy idiot", "FILTHY IDIOT!!", "fillllthy i d i o t", "f​ilthy idіot", "f1lthy 1d10t", "fílthy idiot"):
-        assert harm.fold(bad) == "filthy idiot", bad
+        assert told(bad) == ["filthy idiot"], bad
+    assert told("One two. Three four; five six!\nSeven <b>eight nine</b>\n\n") == ["one two", "three four", "five six", "seven", "eight nine"]
+    assert told("The first clause of all is here, and the second one follows it, then comes a third") == [
+        "the first clause of all is here and the second one follows it then comes a third", "the first clause of all is here", "and the second one follows it",
+        "the first clause of all is here and the second one follows it", "and the second one follows it then comes a third",
+    ]
+    assert told(None) == told("") == told(" \n") == told("☃ .,;") == []
+
+
+def test_passages_keep_to_their_texts():
+    texts = ["a first text", None, "second one, with some clauses, of its own. And more", "", "x" * 5000, "last"]
+    p = harm.passages(texts)
+    for i, t in enumerate(texts):
+        assert [p.told(j) for j in np.flatnonzero(p.text == i)] == told(t)
+    h, values = harm.hashes(p.code), np.random.default_rng(1).random(harm.SIZE)
+    g, o = harm._grams(p, h, np.arange(len(p.begin)))
+    assert np.allclose(harm._sums(p, h, values), np.bincount(o, weights=values[g], minlength=len(p.begin)))
+    assert np.array_equal(harm._number(p), np.bincount(o, minlength=len(p.begin)))
+
+
+INSULTS, SLURS, LURES = ("{} is a pathetic idiot and a worthless loser", "shut up you worthless idiot from {}"), ("foreigners in {} are parasites and should be driven out", "all foreigners in {} are born thieves and parasites"), ("send nude pictures to {} and have hardcore sex tonight", "nude girls in {} want hardcore sex tonight")
+CALM = ("The harvest in {} was good.", "Analysts in {} expect a further rise, although demand fell.", "Rats and parasites destroyed the stocks in {}.", "Could you add {} next time?")
+PLACES = [a + b for a in ("Nor", "Zar", "Wyn", "Kes", "Tor", "Ald") for b in ("land", "vale", "mark", "holm", "stad")]
+
+
+def labelled():
+    out = []
+    for i, place in enumerate(PLACES):
+        calm = " ".join(c.format(place) for c in CALM)
+        out.append((f"{calm} {calm.upper()}", "none"))
+        for kind, lines in zip(harm.KINDS, (INSULTS, SLURS, LURES)):
+            if i % 3 == 0:
+                out.append((f"{calm} {lines[i % 2].format(place)}.", kind))
+    return out + [(CALM[0].format(PLACES[1]), "hateful"), (f"{CALM[3].format(PLACES[1])} {SLURS[0].format(PLACES[1])}", "none")]
 
 
 def test_harm(spark):
-    docs = [
-        (1, "The figures look fine. You are a pathetic 1d10t and a w0rthless loser!", "a", ""),
-        (2, "Critics called the forecast stupidly optimistic. Breeders sold asses and cocks.", "a", ""),
-        (3, "Foreigners are parasites and should be driven out of the country.", "b", ""),
-        (4, "Send me nude pictures and I will tell you how I touch myself", None, ""),
-        (5, None, "b", ""), (6, "", "b", ""), (7, "```\n|---|", "b", ""), (8, "word " * 20_000, "b", ""),
-    ]
-    d = spark.createDataFrame(docs, DOCS)
-    labels = spark.createDataFrame([(2, "none", ""), (2, None, ""), (99, "abusive", ""), (8, "none", ""), (8, "sexual", "")], LABELS)
+    lines = [INSULTS[0].format("Aldria"), CALM[2].format("Aldria"), SLURS[1].format("Aldria"), LURES[1].format("Aldria")]
+    docs = [(i, t, "train", "") for i, (t, _) in enumerate(labelled())]
+    new = [(1001 + i, f"{CALM[1].format('Aldria')} {x}.", "a" if i < 2 else "b", "") for i, x in enumerate(lines)] + [(1005, None, "b", ""), (1006, "", "b", ""), (1007, "```\n|---|", None, ""), (1008, "the harvest " * 10_000, "b", "")]
+    labels = [(i, k, "") for i, (_, k) in enumerate(labelled())] + [(1002, "none", ""), (1002, None, ""), (99_999, "abusive", ""), (1001, "none", ""), (1001, "sexual", "")]
+    d, labels = spark.createDataFrame(docs + new, DOCS), spark.createDataFrame(labels + labels[:3], LABELS)
     scores = harm.score_documents(d, labels)
-    assert rows(harm.found(scores)) == [(1, "abusive"), (3, "hateful"), (4, "sexual")]
-    assert scores.count() == 8
-    assert {r.source: (r.n_documents, r.hateful_rate) for r in harm.rates(scores).collect()} == {"a": (2, 0.0), "b": (5, 0.2), None: (1, 0.0)}
-    assert harm.score_documents(d, labels.limit(0)).count() == 8
+    assert rows(harm.found(scores).filter("doc_id > 1000")) == [(1001, "abusive"), (1003, "hateful"), (1004, "sexual")]
+    # The wrong labels of both kinds are seen through.
+    wrong = {r.doc_id: r.harm for r in harm.found(scores).collect() if r.doc_id in (len(docs) - 1, len(docs) - 2)}
+    assert wrong == {len(docs) - 1: "hateful"}
+    assert scores.count() == len(docs) + len(new)
+    assert {r.source: (r.n_documents, r.hateful_rate) for r in harm.rates(scores).collect() if r.source != "train"} == {"a": (2, 0.0), "b": (5, 0.2), None: (1, 0.0)}
     assert harm.score_documents(d.limit(0), labels).count() == 0
 
 
+def test_without_labels_nothing_is_known(spark):
+    d = spark.createDataFrame([(1, INSULTS[0].format("x"), "a", "")], DOCS)
+    assert rows(harm.score_documents(d, empty(spark, LABELS)).drop("source")) == [(1, 0.0, 0.0, 0.0)]
+    only = harm.train([(t, k) for t, k in labelled() if k in ("none", "sexual")])
+    assert only.score([INSULTS[0].format("Aldria"), LURES[0].format("Aldria")]).round().tolist() == [[0, 0, 0], [0, 0, 1]]
+
+
 def test_held_out_accuracy():
-    """Trained on the labels of one half, held against written sentences that it hasn't seen."""
-    lines = [x for x in harm._EXAMPLES.strip().split("\n")]
-    half = [("\n".join(["Some harmless sentence.", x[2:]]), {"a": "abusive", "h": "hateful", "s": "sexual", "-": "none"}[x[0]]) for x in lines[::2]]
-    m = harm.train(half)
-    s = m.score([harm.fold(x[2:]) for x in lines])
-    right = sum((s[i].argmax() == "ahs".index(x[0]) and s[i].max() >= 0.5) if x[0] != "-" else s[i].max() < 0.5 for i, x in enumerate(lines))
-    assert right / len(lines) >= 0.95
+    """Trained on the labels of one half of the documents, held against those of the other half."""
+    read = lambda name, columns: pd.read_parquet(f"/root/testdata/sf0.1/{name}.parquet", columns=columns)
+    labels = read("labels", ["doc_id", "label"]).dropna().drop_duplicates()
+    data = labels[~labels["doc_id"].duplicated(keep=False)].merge(read("documents", ["doc_id", "text"]), on="doc_id").dropna()
+    half = data["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 2 == 0)
+    model = harm.train(list(data[half].sort_values("doc_id")[["text", "label"]].itertuples(index=False, name=None)))
+    score = model.score(data[~half]["text"].tolist())
+    label = data[~half]["label"].to_numpy()
+    flagged, said = score.max(axis=1) >= harm.THRESHOLD, label != "none"
+    right = sum(label[i] == harm.KINDS[score[i].argmax()] for i in np.flatnonzero(flagged))
+    assert right / flagged.sum() >= 0.9  # some labels are wrong
+    assert (flagged & said).sum() / said.sum() >= 0.5  # a few dozen labels show but a part of the forms
+    assert (flagged & ~said).sum() <= 0.02 * (~said).sum()
 
 
 # ---------------------------------------------------------------- queries
@@ -347,7 +398,9 @@ def test_null_keys(spark):
     assert rows(splitting.oversized(items(plans, chunks))) == [("chunk", "c", 0)]
     assert repeated_lines.repeated_lines(chunks).count() == 0
     docs = spark.createDataFrame([(None, "shut up, you filthy idiot", None, None), (1, "fine", "a", None), (1, "fine", "a", None)], DOCS)
-    assert {r.doc_id for r in harm.found(harm.score_documents(docs, empty(spark, LABELS))).collect()} == {None}
+    model = harm.train(labelled())
+    named = docs.unionByName(spark.createDataFrame([(None, INSULTS[0].format("Aldria"), None, None)], DOCS))
+    assert {r.doc_id for r in harm.found(harm.score_by(named, model)).collect()} == {None}
     assert encoding.encode_corpus(docs).count() == 3 and packing.pack_documents(docs).count() == 3
     m = spark.createDataFrame([(None, None, "Why?", "", None), (2, None, "Why?", "", None)], MESSAGES)
     assert rows(pairs.bad_pairs(m, empty(spark, VERDICTS))) == [(2, "empty"), (None, "empty")]
