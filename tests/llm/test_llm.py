@@ -1,4 +1,5 @@
 import base64
+import os
 import random
 import zlib
 
@@ -366,8 +367,9 @@ def test_without_labels_nothing_is_known(spark):
 
 
 def test_held_out_accuracy():
-    """Trained on the labels of one half of the documents, held against those of the other half."""
-    read = lambda name, columns: pd.read_parquet(f"/root/testdata/sf0.1/{name}.parquet", columns=columns)
+    """Trained on the labels of one half of the documents, held against those of the other half, some of which are wrong."""
+    root, recall = ("/root/testdata/check_l", 0.85) if os.path.exists("/root/testdata/check_l") else ("/root/testdata/sf0.1", 0.35)
+    read = lambda name, columns: pd.read_parquet(f"{root}/{name}.parquet", columns=columns)
     labels = read("labels", ["doc_id", "label"]).dropna().drop_duplicates()
     data = labels[~labels["doc_id"].duplicated(keep=False)].merge(read("documents", ["doc_id", "text"]), on="doc_id").dropna()
     half = data["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 2 == 0)
@@ -376,9 +378,9 @@ def test_held_out_accuracy():
     label = data[~half]["label"].to_numpy()
     flagged, said = score.max(axis=1) >= harm.THRESHOLD, label != "none"
     right = sum(label[i] == harm.KINDS[score[i].argmax()] for i in np.flatnonzero(flagged))
-    assert right / flagged.sum() >= 0.9  # some labels are wrong
-    assert (flagged & said).sum() / said.sum() >= 0.5  # a few dozen labels show but a part of the forms
-    assert (flagged & ~said).sum() <= 0.02 * (~said).sum()
+    assert right / flagged.sum() >= 0.95
+    assert (flagged & said).sum() / said.sum() >= recall
+    assert (flagged & ~said).sum() <= 0.005 * (~said).sum()
 
 
 # ---------------------------------------------------------------- queries
