@@ -1,14 +1,21 @@
 """Broken prompt and response pairs.
 
 An answer is cut into clauses; a linear-chain conditional random field tags each clause as answer, refusal, echo,
-foreign or unfinished; the share of the answer that each tag covers decides on the pair's defect. The field is trained
-here, on a bounded sample of the turns (`TRAIN_TURNS`, those with the smallest hashes of their text) whose clauses get
-first labels from cues that are certain by themselves (the verdict's own abstention, a clause equal to the question, an
-open code fence and the like), and on a few written examples in each language. Everything else covers all turns.
+foreign or unfinished; the share of the answer that each tag covers decides on the pair's defect.
+
+The field's labels don't come from its features. Clauses of answers that cite a source are answers; the abstentions that
+verdicts name are refusals; and from good answers broken ones are made: cut at any place, replaced by the question in
+various forms, or moved to a question in another language. The features are measures: how much a clause and its question
+share, which language both are in, how a clause ends and how often its last word ends clauses elsewhere, and how many of
+its words the corpus knows from answers without source and figure, but hardly from those with one. No wording of
+refusals is written down: what refusals say is what supported answers don't.
+
+Training uses at most `TRAIN_TURNS` turns, those with the smallest hashes of their text, and as many abstentions; the
+word statistics are those of all turns, in a table of fixed size, and everything else covers all turns, too.
 
 Defined results: a null, empty or blank answer, or one of marks, citation markers or a placeholder only, is `empty`
 whatever the question; a null question can't be copied and has no language; a missing verdict changes nothing; repeats
-of a turn count once; of several verdicts of a turn every abstention is known; turns without defect have no row.
+of a turn count once; turns without defect have no row.
 """
 
 from __future__ import annotations
@@ -16,9 +23,8 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,8 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
-TRAIN_TURNS = 3000
-_BUCKETS = 4096
+ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
+TRAIN_TURNS, TRAIN_ABSTENTIONS = 3000, 200
+#: Words are counted in a table of this size by their hash.
+BUCKETS = 1 << 17
+#: How much more often, as a log ratio, a word comes in answers without support to count as unlike the others.
+UNLIKE = 1.8
 
 # Function words by language.
 _FUNCTION_WORDS = {
@@ -36,347 +46,467 @@ _FUNCTION_WORDS = {
     "fr": "le la les des du de et est sont était pour dans avec sur par au aux un une ne pas que qui ce cette ces il elle nous vous je à en a été ont plus quels quelle quel pourquoi comment quoi comme ou ne se sa son leur leurs d l s n qu",
     "es": "el la los las del de y es son era para en con por al un una no que qué se su sus lo como más ha han fue cómo cuál cuáles por favor esta este estos estas le nos a o pese sobre entre sin hay según mi me",
 }
-_WORD_LANGS: dict[str, tuple[str, ...]] = {}
-for _lang, _words in _FUNCTION_WORDS.items():
+_LANGS = tuple(_FUNCTION_WORDS)
+_WORD_LANGS: dict[str, np.ndarray] = {}
+for _i, _words in enumerate(_FUNCTION_WORDS.values()):
     for _w in set(_words.split()):
-        _WORD_LANGS[_w] = (*_WORD_LANGS.get(_w, ()), _lang)
+        _WORD_LANGS.setdefault(_w, np.zeros(len(_LANGS)))[_i] = 1.0
+for _v in _WORD_LANGS.values():
+    _v /= _v.sum()
 
-# Words of asking for a language, of declining, and of courtesy, by language.
+# How a question asks for a language, and what stands for no answer.
 _ASKS = re.compile(r"(?i)\b(?:in|into|auf|ins?|en|au|to)\s+(english|french|german|spanish|italian|englisch\w*|französisch\w*|deutsch\w*|spanisch\w*|inglés|francés|alemán|español|castellano|anglais|français|allemand|espagnol)\b|\b(?:translat|übersetz|tradu)\w*")
-_DECLINE = re.compile(
-    r"(?i)\b(?:can(?:no|')t|cannot|could not|couldn't|unable to|not able to|not allowed|allowed to discuss|won't|will not|would rather not|'d rather not|must decline|have to (?:pass|decline)|decline to|no comment|not something i can|"
-    r"against my|my guidelines|lack the means|no (?:dependable )?(?:answer|reply) (?:can|is)|holds? nothing|none of the available|don't have (?:access|information)|no access|outside (?:of )?(?:what|my)|"
-    r"kann (?:ich|ihnen|dazu)?\s*(?:\w+\s+){0,4}(?:nicht|keine?)|nicht (?:beantworten|helfen|weiterhelfen)|darf ich|keine (?:auskunft|aussage|antwort)|lieber nicht|liegt .{0,40}nichts vor|keine der studien|vorgaben|leider (?:nicht|kein)|tut mir leid|möchte ich .{0,30}nicht|"
-    r"ne (?:peux|puis|pourrai|souhaite|veux) pas|m'est impossible|suis pas en mesure|préfère (?:donc )?ne pas|m'interdi\w+|aucune étude|ne contient rien|ne saurais|désolée?|pas autorisée?|"
-    r"no puedo|no podré|imposible responder|prefiero no|no me dejan|no contiene nada|ningún estudio|lo siento|no estoy autorizad\w|mis normas|no me es posible|no dispongo|declinar)"
-)
-_ABOUT_SELF = re.compile(r"(?i)\b(?:i|i'm|i'd|me|my|ich|mir|meine?|je|j'|me|m'est|mes|moi|yo|mi|mis|puedo|prefiero|as an (?:ai|assistant))\b|\bj'|\bm'")
-_COURTESY = re.compile(r"(?i)\b(?:please|rephrase|anything else|consult|specialist|adviser|advisor|bitte|fachmann|fachleute|gern|merci|veuillez|reformuler|spécialiste|autre chose|por favor|reformule|especialista|consulte|algo más|sorry|lo siento|désolée?)\b")
 _PLACEHOLDER = re.compile(r"(?i)^(?:null|none|nil|n/?a|nan|tbd|todo|undefined|empty|no answer|keine|leer|vide|vacío|\W|<br\s*/?>|&nbsp;|_)*$")
 _MARKER = re.compile(r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]")
-_OPENING = re.compile(r"(?i)^\W*(?:you asked|your question(?: was)?|question|ihre frage|sie fragten|frage|votre question|vous (?:avez )?demand\w+|question|su pregunta|usted preguntó|pregunta(?:ba)?|me pregunta)\s*(?:is|was|war|ist|était|es|fue)?\s*:?\s*")
-_WORD = re.compile(r"[^\W_]+")
-_END = re.compile(r"[.!?…。！？][\"'»”’)\]*_]*$")
-
-
-@lru_cache(maxsize=100_000)
-def _words(text: str) -> tuple[str, ...]:
-    return tuple(_WORD.findall(unicodedata.normalize("NFKC", text).lower()))
-
-
-def language(text: str) -> tuple[str | None, float]:
-    """(language, margin over the next) by function words; names, numbers and formulas have none."""
-    score: Counter = Counter()
-    for w in _words(text):
-        langs = _WORD_LANGS.get(w, ())
-        for x in langs:
-            score[x] += 1 / len(langs)
-    top = score.most_common(2)
-    if not top:
-        return None, 0.0
-    margin = top[0][1] - (top[1][1] if len(top) > 1 else 0)
-    return (top[0][0] if margin > 0 else None), margin
+_TOKEN = re.compile(r"[^\W_]+|\x01")
+_ITEM = re.compile(r"(?:[-*+•]|\d{1,2}[.)])(?:\s|$)")
+_SENTENCE = re.compile(r"(?<=[.!?…;])\s+(?=[^\s\[])")
+_DIGITS = re.compile(r"\d+")
+_EDGE = re.compile(r"\b|(?<=[^\w\s])")
+_LINE_EDGE = re.compile(r"(?<=\n[^\s])|(?<=\n[^\s][^\s])|(?<=\n[^\s][^\s][^\n])")
+_CLOSERS = "\"'»”’)]*_ "
+KINDS = ("prose", "list", "table", "code", "fence")
 
 
 def is_empty(answer: str | None) -> bool:
     """Whether an answer has no content of its own."""
     if answer is None:
         return True
-    s = _MARKER.sub(" ", answer)
-    s = re.sub(r"(?i)<[^<>]{1,40}>|```\w*|&nbsp;", " ", s)
+    if len(answer) > 200:
+        return not any(c.isalnum() for c in _MARKER.sub(" ", answer))
+    s = re.sub(r"(?i)<[^<>]{1,40}>|```\w*|&nbsp;", " ", _MARKER.sub(" ", answer))
     s = "".join(c for c in s if not unicodedata.category(c).startswith(("C", "Z")))
     return bool(_PLACEHOLDER.match(s)) or not any(c.isalnum() for c in s)
 
 
-def clauses(answer: str) -> list[tuple[str, str]]:
-    """(kind, text) of each clause: prose sentences, list items, table rows and code lines, in order."""
+def clauses(answer: str) -> list[tuple[int, str]]:
+    """(kind, text) of each clause: prose sentences, list items, table rows and code lines, in order; no citation markers."""
     out, code = [], False
-    for line in answer.split("\n"):
+    for line in _MARKER.sub(" ", answer).split("\n"):
         s = line.strip()
         if s.startswith("```"):
             code = not code
-            out.append(("fence", s))
-        elif not s:
-            continue
-        elif code:
-            out.append(("code", s))
-        elif s.startswith("|"):
-            out.append(("table", s))
-        elif re.match(r"^(?:[-*+•]|\d{1,2}[.)])(?:\s|$)", s):
-            out.append(("list", s))
-        else:
-            out += [("prose", x) for x in re.split(r"(?<=[.!?…;])\s+(?=[^\s\[])", s) if x.strip()]
+            out.append((4, s))
+        elif s:
+            if code:
+                out.append((3, s))
+            elif s[0] == "|":
+                out.append((2, s))
+            elif _ITEM.match(s):
+                out.append((1, s))
+            else:
+                out += [(0, x) for x in _SENTENCE.split(s) if x]
     return out
 
 
-class Turn:
-    """What the clauses of an answer are held against."""
-
-    def __init__(self, question: str | None, answer: str, abstentions: list[str]):
-        self.question = question or ""
-        self.asked = Counter(_words(self.question))
-        self.asked_n = max(1, sum(self.asked.values()))
-        self.free = bool(_ASKS.search(self.question))
-        self.lang, margin = language(self.question)
-        self.told = {" ".join(_words(x)) for a in abstentions if a for x in (a, *[t for _, t in clauses(a)])}
-        self.clauses = clauses(answer)
-        self.whole, self.whole_margin = language(_MARKER.sub(" ", answer))
-        self.fences = sum(k == "fence" for k, _ in self.clauses)
-        rows = [t for k, t in self.clauses if k == "table"]
-        self.columns = max((t.count("|") for t in rows), default=0)
-
-    def echo(self, text: str) -> tuple[float, float]:
-        """(share of the clause that the question has, share of the question that the clause has)."""
-        own = Counter(_words(_OPENING.sub("", text)))
-        n = sum(own.values())
-        if not n:
-            return 0.0, 0.0
-        common = sum((own & self.asked).values())
-        return sum(min(c, 1) * c for w, c in own.items() if w in self.asked) / n, common / self.asked_n
-
-    def features(self) -> list[tuple[list[str], int]]:
-        """(names of the features, number of letters and digits) of each clause."""
-        out, last = [], len(self.clauses) - 1
-        for i, (kind, raw) in enumerate(self.clauses):
-            text = _MARKER.sub(" ", raw).strip()
-            words = _words(text)
-            f = ["bias", f"kind={kind}"]
-            a, b = self.echo(text)
-            if len(words) >= 3 or b >= 0.6:
-                f.append("echo=" + ("all" if a >= 0.85 and b >= 0.5 else "part" if a >= 0.85 else "some" if a >= 0.6 and b >= 0.5 else "none"))
-            lang, margin = language(text)
-            if lang is None or len(words) < 3 or kind in ("table", "code", "fence"):
-                lang, margin = (self.whole, self.whole_margin if kind in ("prose", "list") else 0) if len(words) >= 3 else (None, 0)
-            if self.lang and lang and margin >= 1 and self.whole_margin >= 1:
-                f.append("lang=" + ("same" if lang == self.lang else "asked" if self.free else "other"))
-            digits = any(c.isdigit() for c in text)
-            if digits:
-                f.append("digits")
-            decline = bool(_DECLINE.search(text))
-            if decline:
-                f += ["decline", "decline+digits" if digits else "decline+plain"]
-            if _ABOUT_SELF.search(text):
-                f.append("self")
-            if _COURTESY.search(text):
-                f += ["courtesy", "courtesy+digits" if digits else "courtesy+plain"]
-            if " ".join(words) in self.told:
-                f.append("abstention")
-            if i == last:
-                f.append("last")
-                f.append("cut" if self.cut(kind, raw) else "whole")
-            if i == 0:
-                f.append("first")
-            f += [f"w{zlib.crc32(w.encode()) % _BUCKETS}" for w in set(words) if w in _WORD_LANGS or len(words) < 25]
-            out.append((f, sum(c.isalnum() for c in text) if kind != "fence" else 0))
-        return out
+# ---------------------------------------------------------------- features
 
-    def finished(self, raw: str) -> bool:
-        """Whether an earlier clause is a sentence with its end, and not the question again."""
-        text = _MARKER.sub("", raw).strip()
-        words = _words(text)
-        if self.echo(text)[0] >= 0.85:
-            return False
-        return len(words) > 1 and bool(_END.search(text)) or text.endswith(";") and len(words) > 3 and any(w in _WORD_LANGS for w in words)
-
-    def cut(self, kind: str, raw: str) -> bool:
-        """Whether the last clause breaks off."""
-        if self.fences % 2:
-            return True
-        s = raw.strip()
-        if kind == "fence" or kind == "code":
-            return False
-        if kind == "table":
-            return not s.endswith("|") or s.count("|") < self.columns
-        text = _MARKER.sub("", s).strip()
-        if kind == "list":
-            body = re.sub(r"^(?:[-*+•]|\d{1,2}[.)])\s*", "", text)
-            if not body or body[-1] in ",;:-–(":
-                return True
-            tail = _words(body)[-1:] or ("",)
-            return tail[0] in _WORD_LANGS and not _END.search(body) and not body[-1].isdigit()
-        words = _words(text)
-        if _END.search(text) or not words:
-            return False
-        if text[-1] in ",;:-–(":
-            return True
-        # After finished sentences whatever has no end mark is cut; names and figures are left alone as the whole answer.
-        own, asked = self.echo(text)
-        if any(k == "prose" and self.finished(x) for k, x in self.clauses[:-1]) and not (own >= 0.8 and asked >= 0.5):
-            return True
-        # Names, figures and headings end without a mark; sentences don't.
-        return len(words) > 3 and any(w in _WORD_LANGS for w in words) and self.echo(text)[0] < 0.8
-
-
-def _certain(turn: Turn, features: list[tuple[list[str], int]]) -> list[int]:
-    """First labels, from the cues that are certain by themselves."""
-    tags = []
-    for f, _ in features:
-        has = set(f)
-        if "cut" in has:
-            tags.append(4)
-        elif "echo=all" in has:
-            tags.append(2)
-        elif "abstention" in has or "decline+plain" in has:
-            tags.append(1)
-        elif "lang=other" in has:
-            tags.append(3)
-        else:
-            tags.append(0)
-    # Courtesy beside nothing but refusals belongs to them.
-    if 1 in tags and all(t == 1 or "courtesy+plain" in f or n < 3 for t, (f, n) in zip(tags, features)):
-        tags = [1] * len(tags)
-    return tags
-
-
-# Written examples (question, answer, tags by clause).
-_EXAMPLES = (
-    ("What does the report say about revenue?", "I'm sorry, but I can't help with that.", (1,)),
-    ("What does the report say about revenue?", "That is beyond what I may discuss. Please ask a specialist.", (1, 1)),
-    ("What does the report say about revenue?", "Revenue rose by 4.1% in 2021. Costs fell.", (0, 0)),
-    ("Was steht im Bericht zum Umsatz?", "Dazu kann ich leider nichts sagen. Bitte fragen Sie anders.", (1, 1)),
-    ("Was steht im Bericht zum Umsatz?", "Der Umsatz stieg im Jahr 2021 um 4 Prozent.", (0,)),
-    ("Que dit le rapport sur le chiffre d'affaires ?", "Je ne peux pas répondre à cette question. Merci de la reformuler.", (1, 1)),
-    ("Que dit le rapport sur le chiffre d'affaires ?", "Le chiffre d'affaires a progressé en 2021.", (0,)),
-    ("¿Qué dice el informe sobre la facturación?", "No me es posible responder a eso. Consulte a un especialista.", (1, 1)),
-    ("¿Qué dice el informe sobre la facturación?", "La facturación creció un 4 % en 2021.", (0,)),
-)
+
+@dataclass(frozen=True)
+class Words:
+    """What the corpus knows of words: logs of how much more often they come without support, and how frequent they are."""
+
+    odds: np.ndarray
+    n: np.ndarray  # the share of all words
+    final: np.ndarray  # the share of their occurrences that end a clause
+
+    @classmethod
+    def of(cls, supported: np.ndarray, other: np.ndarray, final: np.ndarray) -> Words:
+        n = supported + other
+        # A word that is hardly known speaks for neither side.
+        blank = 4 / max(1.0, n.sum())
+        odds = np.log(other / max(1.0, other.sum()) + blank) - np.log(supported / max(1.0, supported.sum()) + blank)
+        return cls(odds.astype(np.float32), (n / max(1.0, n.sum())).astype(np.float32), (final / np.maximum(n, 1)).astype(np.float32))
+
+
+#: The features of a clause, one value of each: name and number of values.
+FEATURES = (
+    ("kind", 5), ("echo", 35), ("echo of the whole", 35), ("language", 3), ("figures", 3), ("unlike words", 5), ("unlike words of the whole", 5), ("their number by length", 12),
+    ("end", 73), ("last word", 26), ("broken block", 5), ("function words", 7), ("first", 2),
+)
+_OFFSET = np.concatenate(([0], np.cumsum([n for _, n in FEATURES])))
+N_FEATURES = int(_OFFSET[-1])
+_ECHO_A, _ECHO_B = np.array([0.3, 0.5, 0.65, 0.75, 0.85, 0.95]), np.array([0.25, 0.45, 0.6, 0.8])
+
+
+@dataclass(frozen=True)
+class Clauses:
+    """The clauses of a batch of turns, in order: each one's turn, size in letters and digits, and features (n x features)."""
+
+    turn: np.ndarray
+    size: np.ndarray
+    features: np.ndarray
+
+
+def _tokens(texts: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, text) numbers of all words of the texts; new words get a number in `index`."""
+    joined = unicodedata.normalize("NFKC", "\x01".join(t.replace("\x01", " ") for t in texts)).lower()
+    found = np.fromiter((-1 if w == "\x01" else index.setdefault(w, len(index)) for w in _TOKEN.findall(joined)), np.int64)
+    return found[found >= 0], np.cumsum(found < 0)[found >= 0]
+
+
+def _end(text: str) -> int:
+    """How a clause ends: 0 stop, 1 mark that goes on or nothing but an item's mark, 2 letter, 3 digit or per cent, 4 pipe, 5 other."""
+    if _ITEM.fullmatch(text):
+        return 1
+    s = text.rstrip(_CLOSERS) or text
+    c = s[-1]
+    return 0 if c in ".!?…。！？" else 1 if c in ",;:-–—([{/" else 4 if c == "|" else 3 if c.isdigit() or c in "%‰€$£" else 2 if c.isalpha() else 5
+
+
+def read(questions: list[str | None], answers: list[str], words: Words) -> Clauses:
+    """The clauses of turns whose answers aren't empty, with their features."""
+    parts = [clauses(a) for a in answers]
+    turn = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    texts = [t for p in parts for _, t in p]
+    kind = np.fromiter((k for p in parts for k, _ in p), np.int64, len(texts))
+    n, n_turns = len(texts), len(parts)
+    index: dict[str, int] = {}
+    # An item's number is no word of it.
+    w, c = _tokens([_ITEM.sub("", t, 1) if k == 1 else t for t, k in zip(texts, kind)], index) if texts else (np.zeros(0, np.int64),) * 2
+    qw, qt = _tokens([q or "" for q in questions], index) if n_turns else (np.zeros(0, np.int64),) * 2
+    names = list(index)
+    bucket = np.fromiter((zlib.crc32(_DIGITS.sub("0", x).encode("utf-8", "replace")) % BUCKETS for x in names), np.int64, len(names))
+    figure = np.fromiter((any(map(str.isdigit, x)) for x in names), bool, len(names))
+    langs = np.array([_WORD_LANGS.get(x, _NO_LANG) for x in names]).reshape(len(names), len(_LANGS))
+    per = lambda at, weights=None, size=n: np.bincount(at, weights=weights, minlength=size)
+    count = per(c)
+    letters = np.bincount(c, weights=np.fromiter(map(len, names), float, len(names))[w], minlength=n) if len(w) else np.zeros(n)
+
+    # What a clause and the whole answer share with the question.
+    asked = np.unique(qt * len(names) + qw)
+    asked_n = np.maximum(1, per(asked // max(1, len(names)), size=n_turns))
+    own = turn[c] * len(names) + w
+    in_q = np.isin(own, asked)
+    part = per(c, in_q) / np.maximum(1, count)
+    seen = np.unique(c[in_q] * len(names) + w[in_q]) // max(1, len(names))
+    of_q = per(seen) / asked_n[turn]
+    whole_part = per(turn[c], in_q, n_turns) / np.maximum(1, per(turn[c], size=n_turns))
+    whole_of_q = per(np.unique(own[in_q]) // max(1, len(names)), size=n_turns) / asked_n
+    longer = per(turn[c], size=n_turns) > 4 * asked_n
+    bins = lambda a, b: np.searchsorted(_ECHO_A, a, "right") * 5 + np.searchsorted(_ECHO_B, b, "right")
+    echo = np.where((count >= 3) | (of_q >= 0.6), bins(part, of_q), 0)
+    echo_whole = np.where(longer, 0, bins(whole_part, whole_of_q))[turn]
+
+    # Languages by function words; what has too few of them is judged by the whole answer.
+    score = np.stack([per(c, langs[w, i]) for i in range(len(_LANGS))], axis=1) if len(w) else np.zeros((n, len(_LANGS)))
+    text_like = (kind < 2)[:, None]
+    whole = np.stack([per(turn, (score * text_like)[:, i], n_turns) for i in range(len(_LANGS))], axis=1)
+    ask = np.stack([per(qt, langs[qw, i], n_turns) for i in range(len(_LANGS))], axis=1) if len(qw) else np.zeros((n_turns, len(_LANGS)))
+    top = lambda s: (s.argmax(axis=1), (t := np.sort(s, axis=1))[:, -1] - t[:, -2])
+    (lang, margin), (whole_lang, whole_margin), (ask_lang, ask_margin) = top(score), top(whole), top(ask)
+    by_whole = (margin < 1) | (count < 3) | (kind > 1)
+    lang, margin = np.where(by_whole, whole_lang[turn], lang), np.where(by_whole, np.where(count >= 3, whole_margin[turn], 0), margin)
+    free = np.fromiter((bool(_ASKS.search(q or "")) for q in questions), bool, n_turns)
+    known = (margin >= 1) & (whole_margin[turn] >= 1) & (ask_margin[turn] > 0) & (kind < 2)
+    language = np.where(~known, 0, np.where(free[turn] | (lang == ask_lang[turn]), 1, 2))
+
+    figures = np.where(per(c, figure[w] & ~in_q) > 0, 2, np.where(per(c, figure[w]) > 0, 1, 0)) if len(w) else np.zeros(n, int)
+
+    # Words that answers with support hardly have.
+    odd = (words.odds[bucket[w]] > UNLIKE) & ~in_q if len(w) else np.zeros(0, bool)
+    free_n = count - per(c, in_q)
+    odd_n = per(c, odd)
+    level = lambda odd_n, free_n, n: np.where(free_n > 0, 1 + np.searchsorted([0.001, 0.12, 0.25], odd_n / np.maximum(1, n), "right"), 0)
+    share, share_whole = level(odd_n, free_n, count), level(per(turn, odd_n, n_turns), per(turn, free_n, n_turns), per(turn, count, n_turns))[turn]
+    odd_by_length = np.minimum(odd_n, 2).astype(int) * 4 + np.searchsorted([4, 8, 16], count, "right")
+
+    # How the answer ends.
+    last = np.concatenate((turn[1:] != turn[:-1], [True])) if n else np.zeros(0, bool)
+    end = np.fromiter(map(_end, texts), np.int64, n)
+    finished = (kind == 0) & (count > 1) & ((end == 0) | np.fromiter((t[-1] == ";" for t in texts), bool, n)) & (part < 0.85)
+    before = (per(turn, finished, n_turns)[turn] - finished) > 0
+    fences, pipes = per(turn, kind == 4, n_turns), np.fromiter((t.count("|") for t in texts), np.int64, n)
+    widest = np.zeros(n_turns, np.int64)
+    np.maximum.at(widest, turn[kind == 2], pipes[kind == 2])
+    broken = np.where((fences % 2 == 1)[turn], 1, np.where(kind == 2, np.where((end != 4) | (pipes < widest[turn]), 2, 3), 0))
+    final_word = np.full(n, -1)
+    final_word[c] = w  # the last assignment stays
+    at = bucket[np.maximum(final_word, 0)] if len(names) else np.zeros(n, np.int64)
+    number = np.searchsorted([3e-6, 1e-5, 5e-5, 3e-4], words.n[at], "right") * 5 + np.searchsorted([0.005, 0.03, 0.1, 0.4], words.final[at], "right")
+    function = per(c, (langs.sum(axis=1) > 0)[w]) if len(w) else np.zeros(n)
+    values = np.stack([
+        kind, echo, echo_whole, language, figures, share, share_whole, odd_by_length,
+        np.where(last, 1 + (kind * 6 + end) * 2 + before, 0), np.where(last & (end != 0) & (final_word >= 0), 1 + number, 0), np.where(last, 1 + broken, 0),
+        np.where(last, 1 + np.minimum(function, 2).astype(int) * 2 + before, 0), np.concatenate(([1], (turn[1:] != turn[:-1]).astype(int))) if n else kind,
+    ], axis=1)
+    return Clauses(turn, np.where(kind == 4, 0, letters), values + _OFFSET[:-1])
+
+
+_NO_LANG = np.zeros(len(_LANGS))
+
+
+# ---------------------------------------------------------------- the field
+
+
+def _lse(a: np.ndarray, axis: int) -> np.ndarray:
+    top = a.max(axis=axis, keepdims=True)
+    return top.squeeze(axis) + np.log(np.exp(a - top).sum(axis=axis))
+
+
+class _Steps:
+    """Sequences of a flat table of clauses, longest first: step t has the t-th clause of every sequence that has one."""
+
+    def __init__(self, turn: np.ndarray):
+        heads = np.flatnonzero(np.diff(turn, prepend=-1)) if len(turn) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate((heads, [len(turn)])))
+        order = np.argsort(-size, kind="stable")
+        self.turns, self.heads, self.size = turn[heads[order]] if len(turn) else heads, heads[order], size[order]
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for t in range(int(self.size.max(initial=0))):
+            yield self.heads[: np.searchsorted(-self.size, -t, "left")] + t
 
 
 class Field:
-    """A linear-chain conditional random field over hashed features."""
-
-    def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
-        self.names, self.weights, self.moves = names, weights, moves
-
-    def scores(self, features: list[tuple[list[str], int]]) -> np.ndarray:
-        w, names = self.weights, self.names
-        return np.array([w[[names[x] for x in f if x in names]].sum(axis=0) for f, _ in features])
-
-    def tags(self, features: list[tuple[list[str], int]]) -> list[int]:
-        """The most probable tags (Viterbi)."""
-        s = self.scores(features)
-        best, back = s[0], []
-        for t in range(1, len(s)):
-            via = best[:, None] + self.moves
-            back.append(via.argmax(axis=0))
-            best = via.max(axis=0) + s[t]
-        tags = [int(best.argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
-        return tags[::-1]
+    """A linear-chain conditional random field over the features of FEATURES."""
+
+    def __init__(self, weights: np.ndarray, moves: np.ndarray):
+        self.weights, self.moves = weights, moves
+
+    def tags(self, c: Clauses) -> np.ndarray:
+        """The most probable tags (Viterbi), for all turns of a batch at once."""
+        s = self.weights[c.features].sum(axis=1)
+        steps = list(_Steps(c.turn))
+        back = []
+        for now, before in zip(steps[1:], steps):
+            via = s[before[: len(now)], :, None] + self.moves
+            back.append(via.argmax(axis=1))
+            s[now] += via.max(axis=1)
+        out = np.zeros(len(s), np.int64)
+        for t in range(len(steps) - 1, -1, -1):
+            now = steps[t]
+            more = len(steps[t + 1]) if t + 1 < len(steps) else 0
+            out[now[more:]] = s[now[more:]].argmax(axis=1)
+            if more:
+                out[now[:more]] = back[t][np.arange(more), out[steps[t + 1]]]
+        return out
 
     @classmethod
-    def train(cls, sequences: list[tuple[list[list[str]], list[int]]], rounds: int = 120, rate: float = 0.2, decay: float = 5e-4) -> Field:
+    def train(cls, c: Clauses, gold: np.ndarray, rounds: int = 100, rate: float = 0.2, decay: float = 1e-4) -> Field:
         """Maximum likelihood by forward-backward over all sequences at once, Adam steps."""
-        count = Counter(x for fs, _ in sequences for f in fs for x in f)
-        names = {x: i for i, (x, n) in enumerate(sorted(count.items())) if n >= 2 or not x.startswith("w")}
-        names = {x: i for i, x in enumerate(names)}
-        K, n = len(TAGS), len(sequences)
-        T = max(len(t) for _, t in sequences)
-        flat_at, flat_f = [], []
-        y = np.zeros((n, T), int)
-        mask = np.zeros((n, T), bool)
-        for i, (fs, ts) in enumerate(sequences):
-            for t, (f, tag) in enumerate(zip(fs, ts)):
-                mask[i, t], y[i, t] = True, tag
-                own = [names[x] for x in f if x in names]
-                flat_f += own
-                flat_at += [i * T + t] * len(own)
-        flat_at, flat_f = np.array(flat_at), np.array(flat_f)
-        w, m = np.zeros((len(names), K)), np.zeros((K, K))
-        gold = np.zeros((n, T, K))
-        gold[np.arange(n)[:, None], np.arange(T), y] = 1
-        gold *= mask[:, :, None]
-        moves_gold = np.einsum("ntj,ntk->jk", gold[:, :-1], gold[:, 1:])
+        K, n = len(TAGS), max(1, len(np.unique(c.turn)))
+        steps = list(_Steps(c.turn))
+        flat = c.features.ravel()
+        w, m = np.zeros((N_FEATURES, K)), np.zeros((K, K))
+        truth = np.zeros((len(gold), K))
+        truth[np.arange(len(gold)), gold] = 1
         mom = [np.zeros_like(x) for x in (w, w, m, m)]
-        lse = lambda a, axis: (top := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - top).sum(axis=axis))
         for step in range(1, rounds + 1):
-            s = np.stack([np.bincount(flat_at, weights=w[flat_f, k], minlength=n * T) for k in range(K)], axis=1).reshape(n, T, K)
-            alpha, beta = np.zeros((n, T, K)), np.zeros((n, T, K))
-            alpha[:, 0] = s[:, 0]
-            for t in range(1, T):
-                nxt = lse(alpha[:, t - 1, :, None] + m, 1) + s[:, t]
-                alpha[:, t] = np.where(mask[:, t, None], nxt, alpha[:, t - 1])
-            z = lse(alpha[:, -1], 1)
-            for t in range(T - 2, -1, -1):
-                nxt = lse(m + (s[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-                beta[:, t] = np.where(mask[:, t + 1, None], nxt, 0)
-            p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-            both = np.exp(alpha[:, :-1, :, None] + m + (s[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
-            diff = (p - gold).reshape(n * T, K)
-            gw = np.stack([np.bincount(flat_f, weights=diff[flat_at, k], minlength=len(names)) for k in range(K)], axis=1) / n + decay * w
-            gm = (both.sum(axis=(0, 1)) - moves_gold) / n + decay * m
+            s = w[c.features].sum(axis=1)
+            alpha, beta = s.copy(), np.zeros_like(s)
+            for now, before in zip(steps[1:], steps):
+                alpha[now] += _lse(alpha[before[: len(now)], :, None] + m, 1)
+            for now, before in zip(steps[:0:-1], steps[-2::-1]):
+                beta[before[: len(now)]] = _lse(m + (s[now] + beta[now])[:, None, :], 2)
+            both = alpha + beta
+            z = _lse(both, 1)
+            diff = np.exp(both - z[:, None]) - truth
+            gm = decay * m
+            for now, before in zip(steps[1:], steps):
+                b = before[: len(now)]
+                gm += (np.exp(alpha[b, :, None] + m + (s[now] + beta[now])[:, None, :] - z[now][:, None, None]).sum(axis=0) - truth[b].T @ truth[now]) / n
+            gw = np.stack([np.bincount(flat, weights=np.repeat(diff[:, k], c.features.shape[1]), minlength=N_FEATURES) for k in range(K)], axis=1) / n + decay * w
             for x, g, k in ((w, gw, 0), (m, gm, 2)):
                 mom[k] = 0.9 * mom[k] + 0.1 * g
                 mom[k + 1] = 0.999 * mom[k + 1] + 0.001 * g * g
                 x -= rate * (mom[k] / (1 - 0.9**step)) / (np.sqrt(mom[k + 1] / (1 - 0.999**step)) + 1e-8)
-        return cls(names, w, m)
-
-
-def defect(field: Field, question: str | None, answer: str | None, abstentions: list[str]) -> tuple[str | None, list[float]]:
-    """(defect or None, the share of the answer by tag)."""
-    if is_empty(answer):
-        return "empty", [0.0] * len(TAGS)
-    turn = Turn(question, answer, abstentions)
-    features = turn.features()
-    tags = field.tags(features)
-    cover = np.zeros(len(TAGS))
-    for t, (_, n) in zip(tags, features):
-        cover[t] += n
-    share = cover / max(1, cover.sum())
-    words = _words(_MARKER.sub(" ", answer))
-    if " ".join(words) in turn.told or (share[1] > 0 and share[1] + share[2] >= 0.999):
-        return "refusal", share.tolist()
-    # An echo may be spread over clauses or repeat itself, so the whole is held against the question, too.
-    a, b = turn.echo(" ".join(words)) if len(words) <= 4 * turn.asked_n else (0.0, 0.0)
-    if share[2] >= 0.9 or (share[0] < 0.5 and share[2] + share[4] >= 0.9 and a >= 0.85 and b >= 0.6):
-        return "copy", share.tolist()
-    if tags[-1] == TAGS.index("unfinished"):
-        return "truncated", share.tolist()
-    if share[3] > 0.5:
-        return "language", share.tolist()
-    return None, share.tolist()
-
-
-def turns(messages: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(seq, question, answer, abstentions): distinct turns with every abstention their verdicts name."""
-    told = verdicts.filter("abstention IS NOT NULL").groupBy("seq").agg(F.sort_array(F.collect_set("abstention")).alias("abstentions"))
-    return messages.select("seq", "question", "answer").distinct().join(told, "seq", "left")
-
-
-def train_field(rows: DataFrame, most: int = TRAIN_TURNS) -> Field:
-    """Trained on at most `most` turns, chosen by the hash of their text; a bounded number of rows comes to the driver."""
-    sample = rows.filter("answer IS NOT NULL").select("question", "answer", "abstentions", F.xxhash64("question", "answer").alias("h")).orderBy("h").limit(most).toPandas()
-    sequences = []
-    for q, a, told, _ in sample.itertuples(index=False):
-        if is_empty(a):
-            continue
-        turn = Turn(q, a, list(told) if told is not None else [])
-        if not turn.clauses or len(turn.clauses) > 60:
-            continue
-        f = turn.features()
-        sequences.append(([x for x, _ in f], _certain(turn, f)))
-    for q, a, tags in _EXAMPLES:
-        f = Turn(q, a, []).features()
-        sequences += [([x for x, _ in f], list(tags))] * 3
-    return Field.train(sequences)
+        return cls(w, m)
+
+
+# ---------------------------------------------------------------- labels
+
+
+def _cut(text: str, rng: np.random.Generator) -> str | None:
+    """A text broken off somewhere behind its first fifth: at any character, where a word or mark begins or ends, or soon
+    after a line's begin; never where a line or sentence ends. None if it has no such place."""
+    text = _MARKER.sub(" ", text).rstrip()
+    least = max(1, len(text) // 5)
+    draw = rng.random()
+    edges = [m.start() for m in (_EDGE if draw > 0.2 else _LINE_EDGE).finditer(text, least)] if draw < 0.7 else list(range(least, len(text)))
+    for _ in range(4 if edges else 0):
+        at = edges[int(rng.integers(len(edges)))]
+        cut = text[:at].rstrip()
+        if cut and text[len(cut) :].lstrip(" ")[:1] not in ("", "\n") and _end(cut.rpartition("\n")[2].strip() or cut):
+            return cut
+    return None
+
+
+def _complete(answer: str) -> bool:
+    """Whether no block is left open: code is closed, the last item isn't empty, the last row of a table is as wide as the others."""
+    c = clauses(answer)
+    rows = [t.count("|") for k, t in c if k == 2]
+    return sum(k == 4 for k, _ in c) % 2 == 0 and not (c[-1][0] == 1 and _ITEM.fullmatch(c[-1][1])) and not (c[-1][0] == 2 and rows[-1] < max(rows))
+
+
+def _echoed(question: str, strange: str, rng: np.random.Generator) -> str:
+    """A question as an answer gives it back: as it is, in other letters, twice, behind some words, or not quite."""
+    words = question.split()
+    form = int(rng.integers(7))
+    if form == 1:
+        return question.upper()
+    if form == 2:
+        return f"**{question.strip()}**"
+    if form == 3:
+        return f"{question} {question}"
+    if form == 4:
+        return " ".join(strange.split()[: int(rng.integers(1, 3))]) + ": " + question
+    if form == 5 and len(words) > 5:
+        return " ".join(x for x in words if rng.random() > 0.12)
+    if form == 6 and len(words) > 5:
+        i = int(rng.integers(len(words)))
+        return " ".join(words[:i] + words[i + 1 :][::-1])
+    return question
+
+
+def _language(text: str) -> int:
+    s = sum((_WORD_LANGS.get(w, _NO_LANG) for w in _TOKEN.findall(text.lower())), np.zeros(len(_LANGS)))
+    return int(s.argmax()) if s.any() else -1
+
+
+def labelled(turns: list[tuple[str | None, str]], abstentions: list[str], seed: int = 0) -> tuple[list[str], list[str], list[list[int]]]:
+    """(questions, answers, tags by clause) from sampled turns and the abstentions that verdicts name.
+
+    Good answers are those that cite a source, and of those without the ones that are a list, a table or code with no block
+    left open, or names only. A part of the other answers with figures of their own counts as good, too: few are not.
+    """
+    rng = np.random.default_rng(seed)
+    questions, answers, tags = [], [], []
+
+    def add(q: str, a: str, body: int, last: int | None = None, head: int = 0) -> None:
+        n = len(clauses(a))
+        if n and not is_empty(a):
+            questions.append(q)
+            answers.append(a)
+            tags.append([ECHO] * min(head, n - 1) + [body] * (n - 1 - min(head, n - 1)) + [body if last is None else last])
+
+    turns = [(q, a) for q, a in turns if q and a and not is_empty(a)]
+    cites = [bool(_MARKER.search(a)) for _, a in turns]
+    plain = lambda a: any(k for k, _ in clauses(a)) or not any(w in _WORD_LANGS for w in _TOKEN.findall(a.lower()))
+    good = [(q, a) for (q, a), c in zip(turns, cites) if c or (plain(a) and _complete(a))]
+    of: dict[int, list[str]] = {}
+    langs = [_language(q) for q, _ in turns]
+    for (q, a), c, x in zip(turns, cites, langs):
+        if c and x >= 0:
+            of.setdefault(x, []).append(a)
+    for q, a in good:
+        # Lists, tables and code are rare, and there are more places where they can break off.
+        blocks = any(k for k, _ in clauses(a))
+        for _ in range(3 if blocks else 1):
+            add(q, a, ANSWER)
+        for _ in range(2 if blocks else int(rng.random() < 0.5)):
+            if cut := _cut(a, rng):
+                add(q, cut, ANSWER, UNFINISHED)
+    for (q, a), c, x in zip(turns, cites, langs):
+        draw = rng.random()
+        # Most answers with figures of their own and an end are good, too, whatever their words.
+        if not c and draw > 0.7 and _end(a) == 0 and _language(a) in (-1, x) and set(_DIGITS.findall(a)) - set(_DIGITS.findall(q)):
+            add(q, a, ANSWER)
+        if draw < 0.2:
+            strange = (abstentions or [a])[int(rng.integers(len(abstentions or [a])))] if rng.random() < 0.3 else turns[int(rng.integers(len(turns)))][1]
+            add(q, _echoed(q, strange, rng), ECHO)
+        elif draw < 0.25 and c:
+            add(q, f"{q}\n\n{a}", ANSWER, head=len(clauses(q)))
+        elif draw < 0.35 and c:
+            # An answer that takes up a part of the question's words.
+            start, rest = q.rstrip("?").split(), clauses(a)[-1][1].split()
+            add(q, " ".join(start[len(start) // 2 :] + rest[-max(3, len(start) // 2) :]), ANSWER)
+        elif draw < 0.55 and x >= 0 and not _ASKS.search(q):
+            foreign = [y for y in of if y != x]
+            if foreign:
+                pool = of[foreign[int(rng.integers(len(foreign)))]]
+                add(q, pool[int(rng.integers(len(pool)))], FOREIGN)
+    if turns:
+        for i, text in enumerate(abstentions * (1 + 300 // max(1, len(abstentions)) if abstentions else 0)):
+            q = turns[int(rng.integers(len(turns)))][0]
+            add(q, text, REFUSAL)
+            if i % 3 == 0 and len(clauses(text)) > 1:
+                add(q, clauses(text)[int(rng.integers(len(clauses(text))))][1], REFUSAL)
+    return questions, answers, tags
+
+
+def train_field(turns: list[tuple[str | None, str]], abstentions: list[str], words: Words) -> Field:
+    questions, answers, tags = labelled(turns, abstentions)
+    if not answers:
+        return Field(np.zeros((N_FEATURES, len(TAGS))), np.zeros((len(TAGS), len(TAGS))))
+    return Field.train(read(questions, answers, words), np.concatenate(tags))
+
+
+# ---------------------------------------------------------------- defects
+
+
+def defects(field: Field, words: Words, questions: list[str | None], answers: list[str | None]) -> tuple[list[str | None], np.ndarray]:
+    """(defect or None, the share of the answer by tag) of every turn."""
+    out: list[str | None] = ["empty"] * len(answers)
+    share = np.zeros((len(answers), len(TAGS)))
+    full = [i for i, a in enumerate(answers) if not is_empty(a)]
+    c = read([questions[i] for i in full], [answers[i] for i in full], words)
+    tags = field.tags(c)
+    cover = np.zeros((len(full), len(TAGS)))
+    np.add.at(cover, (c.turn, tags), c.size)
+    cover /= np.maximum(1, cover.sum(axis=1, keepdims=True))
+    last = np.full(len(full), ANSWER)
+    last[c.turn] = tags  # the last assignment stays
+    for j, i in enumerate(full):
+        s = cover[j]
+        if s[REFUSAL] > 0 and s[REFUSAL] + s[ECHO] >= 0.9:
+            out[i] = "refusal"
+        elif s[ECHO] >= 0.9 or (s[ECHO] > 0 and s[ECHO] + s[UNFINISHED] >= 0.999 and last[j] == ECHO):
+            out[i] = "copy"
+        elif last[j] == UNFINISHED:
+            out[i] = "truncated"
+        elif s[FOREIGN] > 0.5:
+            out[i] = "language"
+        else:
+            out[i] = None
+    share[full] = cover
+    return out, share
+
+
+def word_counts(messages: DataFrame) -> Words:
+    """The words of all answers by hash: with support (a citation marker or a figure), without, and at the ends of clauses.
+
+    Counted inside the tasks; at most BUCKETS rows, whatever the corpus, come to the driver.
+    """
+    plain = F.lower(F.regexp_replace("answer", _MARKER.pattern, " "))
+    text = F.regexp_replace(plain, r"\d+", "0")  # figures count as one word
+    rows = messages.filter("answer IS NOT NULL").select(text.alias("t"), (F.col("answer").rlike(_MARKER.pattern) | plain.rlike(r"\d")).cast("int").alias("s"))
+    hashed = lambda w: F.pmod(F.crc32(F.encode(w, "UTF-8")), F.lit(BUCKETS)).cast("int")
+    every = F.transform(F.filter(F.split("t", r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.struct(hashed(w).alias("b"), F.col("s").alias("s"), (1 - F.col("s")).alias("o"), F.lit(0).alias("f")))
+    final = F.transform(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}]++)[\"'»”’)\]*_]*+(?:[.!?…;|\n]|$)"), F.lit(1)), lambda w: F.struct(hashed(w).alias("b"), F.lit(0).alias("s"), F.lit(0).alias("o"), F.lit(1).alias("f")))
+    sums = rows.select(F.explode(F.concat(every, final)).alias("x")).groupBy("x.b").agg(*[F.sum(f"x.{k}").alias(k) for k in "sof"]).toPandas()
+    table = np.zeros((3, BUCKETS))
+    table[:, sums["b"].to_numpy(np.int64)] = sums[["s", "o", "f"]].to_numpy(float).T
+    return Words.of(*table)
+
+
+def turns(messages: DataFrame) -> DataFrame:
+    """(seq, question, answer): distinct turns."""
+    return messages.select("seq", "question", "answer").distinct()
+
+
+def trained(messages: DataFrame, verdicts: DataFrame, most: int = TRAIN_TURNS) -> tuple[Field, Words]:
+    """The field and what is known of words; at most `most` turns and TRAIN_ABSTENTIONS abstentions come to the driver."""
+    words = word_counts(messages)
+    sample = messages.filter("question IS NOT NULL AND answer IS NOT NULL").select("question", "answer", F.xxhash64("question", "answer").alias("h")).orderBy("h", "question", "answer").limit(most).toPandas()
+    told = verdicts.filter("abstention IS NOT NULL").groupBy("abstention").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "abstention").limit(TRAIN_ABSTENTIONS).toPandas()
+    pairs = list(sample.drop_duplicates(["question", "answer"])[["question", "answer"]].itertuples(index=False, name=None))
+    return train_field(pairs, told["abstention"].tolist(), words), words
 
 
 def score_pairs(messages: DataFrame, verdicts: DataFrame, most: int = TRAIN_TURNS) -> DataFrame:
     """(seq, defect, answered, refused, echoed, foreign, unfinished): every distinct turn; defect is null for a good one."""
-    rows = turns(messages, verdicts)
-    field = rows.sparkSession.sparkContext.broadcast(train_field(rows, most))
+    shared = messages.sparkSession.sparkContext.broadcast(trained(messages, verdicts, most))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = field.value
-        for df in batches:
-            out = []
-            for seq, q, a, told in df.itertuples(index=False):
-                d, share = defect(f, q, a, [] if told is None else list(told))
-                out.append((seq, d, *[round(x, 4) for x in share]))
-            yield pd.DataFrame(out, columns=["seq", "defect", "answered", "refused", "echoed", "foreign", "unfinished"])
-
-    return rows.mapInPandas(run, "seq bigint, defect string, answered double, refused double, echoed double, foreign double, unfinished double")
+        field, words = shared.value
+        for whole in batches:
+            for a in range(0, len(whole), 1000):
+                df = whole.iloc[a : a + 1000]
+                found, share = defects(field, words, df["question"].tolist(), df["answer"].tolist())
+                yield pd.DataFrame({"seq": df["seq"].to_numpy(), "defect": found, **{k: share[:, i].round(4) for i, k in enumerate(("answered", "refused", "echoed", "foreign", "unfinished"))}})
+
+    return turns(messages).mapInPandas(run, "seq bigint, defect string, answered double, refused double, echoed double, foreign double, unfinished double")
 
 
 def bad_pairs(messages: DataFrame, verdicts: DataFrame) -> DataFrame:

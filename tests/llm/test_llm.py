@@ -1,4 +1,5 @@
 import base64
+import itertools
 import os
 import random
 import zlib
@@ -264,7 +265,7 @@ MESSAGES = "seq bigint, conversation_id string, question string, answer string,
 VERDICTS = "seq bigint, abstention string, answer string"
 Q = "How fast did grain storage grow in Norland in 2019?"
 TURNS = {
-    None: ["Grain storage grew by 4.1% in 2019 [1].", "Norland, Sudland", "7.1% [2]", "- one result of the study\n- another result", "| a | b |\n|---|---|\n| 1 | 2 |", "Sorry for the earlier confusion: it was 17.1% in 2012.", f"{Q}\n\nIn addition, the storage of grain rose by 3% because of the harvest.", "See below.\n```\nx = 1\n```"],
+    None: ["Grain storage grew by 4.1% in 2019 [1].", "Velthumark, Halbraland", "7.1% [2]", "- one result of the study [1].\n- another one in 2019.", "| a | b |\n|---|---|\n| 1 | 2 |", "Sorry for the earlier confusion: it was 17.1% in 2012.", f"{Q}\n\nIn addition, the storage of grain rose by 3% because of the harvest.", "See below.\n```\nx = 1\n```"],
     "empty": [None, "", " \n", "...", "[1] [2]", "N/A", "null", "​", "```\n```", "**", "<br>"],
     "refusal": ["I'm sorry, but I can't help with that request.", "Nothing to say here at all.", "I cannot provide this information. Consider asking a specialist."],
     "copy": [Q, Q.upper(), f"**{Q}**", f"You asked: {Q}", f"{Q} {Q}"],
@@ -273,24 +274,83 @@ TURNS = {
 }
 
 
-@pytest.mark.parametrize(
-    ("answer", "cut"),
-    [("It rose by 3% in the harvest year. Short- and", True), ("It rose by 3% in the harvest year [1]. The", True), ("It rose by 3% in the harvest year. How did", True), ("It rose by 3% in the harvest year. Gorbratek Advisory outso", True), ("It rose because of the harvest; the revi", True),
-     ("Norland, Sudland", False), ("7.1% [2]", False), (f"{Q} 4.1%", False), ("It rose by 3% in the harvest year. The demand fell.", False)],
-)
-def test_short_rest_of_a_sentence_is_cut(answer, cut):
-    turn = pairs.Turn(Q, answer, [])
-    assert ("cut" in turn.features()[-1][0]) is cut
-
-
-def test_defects(spark):
-    turns = [(i, d, a) for i, (d, a) in enumerate((d, a) for d, answers in TURNS.items() for a in answers)]
-    more = [(100 + i, Q.replace("Norland", f"Land{i}"), f"In Land{i}, the storage of grain grew by {i}.1% in 2019 because of the harvest [1]. The demand was stable.") for i in range(60)]
-    data = [(i, "c", Q, a, "clash") for i, _, a in turns] + [(i, "c", q, a, "clash") for i, q, a in more]
-    data += [(900, "c", Q + " Answer in German.", TURNS["language"][0], ""), (901, "c", None, "The storage of grain grew.", ""), (902, None, None, None, None)]
-    v = [(i, "Nothing to say here at all.", "clash") for i, d, a in turns if a == "Nothing to say here at all."] + [(0, None, ""), (101, "Nothing to say here at all.", "")]
-    got = dict(rows(pairs.bad_pairs(spark.createDataFrame(data + data[:3], MESSAGES), spark.createDataFrame(v, VERDICTS))))
-    assert got == {i: d for i, d, _ in turns if d} | {902: "empty"}
+@pytest.mark.parametrize("answer", TURNS["empty"])
+def test_empty_answers(answer):
+    assert pairs.is_empty(answer)
+    assert not any(pairs.is_empty(a) for d, answers in TURNS.items() if d != "empty" for a in answers)
+
+
+def test_measures_of_a_clause():
+    words = pairs.Words.of(*np.ones((3, pairs.BUCKETS)))
+    c = pairs.read([Q, None, ""], [f"{Q} Other words of its own are here.", "- a\n- b\n-", "```\nx = 1"], words)
+    place = {name: i for i, (name, _) in enumerate(pairs.FEATURES)}
+    at = lambda name: (c.features[:, place[name]] - pairs._OFFSET[place[name]]).tolist()
+    assert c.turn.tolist() == [0, 0, 1, 1, 1, 2, 2] and at("kind") == [0, 0, 1, 1, 1, 4, 3]
+    assert at("echo")[0] == 34 and at("echo")[1] == 0 and at("broken block")[-1] == 2 and at("broken block")[1] == 1
+    assert all(0 <= v < n for (name, n) in pairs.FEATURES for v in at(name))
+    assert pairs.read([], [], words).features.shape == (0, len(pairs.FEATURES))
+
+
+def test_field_like_brute_force():
+    """Viterbi against every sequence of tags, for turns of different length at once."""
+    rng = np.random.default_rng(3)
+    field = pairs.Field(rng.normal(size=(pairs.N_FEATURES, 5)), rng.normal(size=(5, 5)))
+    turn = np.array([0, 0, 0, 1, 2, 2, 2, 2, 3, 3])
+    c = pairs.Clauses(turn, np.ones(10), rng.integers(0, pairs.N_FEATURES, (10, len(pairs.FEATURES))))
+    got = field.tags(c)
+    for t in range(4):
+        own = np.flatnonzero(turn == t)
+        s = field.weights[c.features[own]].sum(axis=1)
+        best = max(itertools.product(range(5), repeat=len(own)), key=lambda y: sum(s[i, k] for i, k in enumerate(y)) + sum(field.moves[a, b] for a, b in zip(y, y[1:])))
+        assert got[own].tolist() == list(best)
+
+
+def messages_of(*names):
+    return [pd.read_parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in names]
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    d = "/root/testdata/sf0.1"
+    return pairs.trained(spark.read.parquet(f"{d}/messages.parquet"), spark.read.parquet(f"{d}/verdicts.parquet"))
+
+
+def test_cuts_are_never_at_ends():
+    rng = np.random.default_rng(1)
+    text = "It rose by 3%. It fell again.\n- one item\n- another item\n\n| a | b |\n|---|---|\n| 1 | 2 |"
+    ends = {text, "It rose by 3%.", "It rose by 3%. It fell again."}
+    for _ in range(300):
+        cut = pairs._cut(text, rng)
+        assert cut is None or (text.startswith(cut) and cut not in ends and text[len(cut) :].lstrip(" ")[:1] not in ("", "\n"))
+
+
+def test_defects_by_a_field_trained_on_made_defects(field):
+    """The field has seen no broken answer of the tables as one; its refusals are none of the abstentions it has seen."""
+    turns = [(d, a) for d, answers in TURNS.items() for a in answers if a != "Nothing to say here at all."]
+    got, share = pairs.defects(*field, [Q] * len(turns), [a for _, a in turns])
+    assert [(d, a) for (d, a), g in zip(turns, got) if d != g] == []
+    assert np.allclose(share.sum(axis=1)[[d != "empty" for d, _ in turns]], 1)
+    asked, _ = pairs.defects(*field, [Q + " Answer in German.", None], [TURNS["language"][0], "The storage of grain grew."])
+    assert asked == [None, None]
+
+
+def test_the_field_learns_from_what_was_made(field):
+    """Held-out turns with made defects; and without made cuts and abstentions it knows neither."""
+    m, v = messages_of("messages", "verdicts")
+    m = m[["question", "answer"]].dropna().drop_duplicates().sort_values(["question", "answer"]).sample(1500, random_state=7)
+    told = sorted(v["abstention"].dropna().unique())
+    q, a, tags = pairs.labelled(list(m.itertuples(index=False, name=None)), told, seed=5)
+    c, gold = pairs.read(q, a, field[1]), np.concatenate(tags)
+    assert (field[0].tags(c) == gold).mean() >= 0.97
+    known = [i for i, t in enumerate(tags) if not {pairs.REFUSAL, pairs.UNFINISHED} & set(t)]
+    less = pairs.Field.train(pairs.read([q[i] for i in known], [a[i] for i in known], field[1]), np.concatenate([tags[i] for i in known]), rounds=30)
+    assert not np.isin(less.tags(c), (pairs.REFUSAL, pairs.UNFINISHED)).any()
+
+
+def test_bad_pairs(spark):
+    data = [(1, "c", Q, None, "clash"), (2, "c", Q, " ", "clash"), (2, "c", Q, " ", "clash"), (3, "c", None, None, None)]
+    v = [(1, None, "clash"), (2, "Nothing to say here at all.", "")]
+    assert rows(pairs.bad_pairs(spark.createDataFrame(data, MESSAGES), spark.createDataFrame(v, VERDICTS))) == [(1, "empty"), (2, "empty"), (3, "empty")]
     assert pairs.bad_pairs(empty(spark, MESSAGES), empty(spark, VERDICTS)).count() == 0
 
 
