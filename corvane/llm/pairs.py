@@ -468,13 +468,15 @@ def word_counts(messages: DataFrame) -> Words:
 
     Counted inside the tasks; at most BUCKETS rows, whatever the corpus, come to the driver.
     """
+    stops = r".!?…;|\n"
     plain = F.lower(F.regexp_replace("answer", _MARKER.pattern, " "))
-    text = F.regexp_replace(plain, r"\d+", "0")  # figures count as one word
-    rows = messages.filter("answer IS NOT NULL").select(text.alias("t"), (F.col("answer").rlike(_MARKER.pattern) | plain.rlike(r"\d")).cast("int").alias("s"))
-    hashed = lambda w: F.pmod(F.crc32(F.encode(w, "UTF-8")), F.lit(BUCKETS)).cast("int")
-    every = F.transform(F.filter(F.split("t", r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.struct(hashed(w).alias("b"), F.col("s").alias("s"), (1 - F.col("s")).alias("o"), F.lit(0).alias("f")))
-    final = F.transform(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}]++)[\"'»”’)\]*_]*+(?:[.!?…;|\n]|$)"), F.lit(1)), lambda w: F.struct(hashed(w).alias("b"), F.lit(0).alias("s"), F.lit(0).alias("o"), F.lit(1).alias("f")))
-    sums = rows.select(F.explode(F.concat(every, final)).alias("x")).groupBy("x.b").agg(*[F.sum(f"x.{k}").alias(k) for k in "sof"]).toPandas()
+    text = F.concat(F.regexp_replace(plain, r"\d+", "0"), F.lit("\n"))  # figures count as one word
+    rows = messages.filter("answer IS NOT NULL").select(text.alias("t"), (F.col("answer").rlike(_MARKER.pattern) | plain.rlike(r"\d")).alias("s"))
+    tokens = rows.select("s", F.explode(F.split("t", rf"[^\p{{L}}\p{{N}}{stops}]+|(?<=[{stops}])")).alias("token")).groupBy("token", "s").agg(F.count("*").alias("n"))
+    word, n = F.rtrim("token", F.lit(".!?…;|\n")), F.col("n")
+    named = tokens.select(word.alias("word"), "s", "n", (F.col("token") != word).alias("final")).filter("word <> ''")
+    bucket = F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(BUCKETS)).cast("int")
+    sums = named.groupBy(bucket.alias("b")).agg(F.sum(F.when(F.col("s"), n).otherwise(0)).alias("s"), F.sum(F.when(~F.col("s"), n).otherwise(0)).alias("o"), F.sum(F.when(F.col("final"), n).otherwise(0)).alias("f")).toPandas()
     table = np.zeros((3, BUCKETS))
     table[:, sums["b"].to_numpy(np.int64)] = sums[["s", "o", "f"]].to_numpy(float).T
     return Words.of(*table)
