@@ -217,12 +217,29 @@ def chunk_text(spark, d):
     return chunking.chunk_text(table(spark, d, "documents"))
 
 
-@query()
+_LINES = """l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r\\n|[\\n-\\r\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS a FROM documents)))"""
+_S = _WS[:-1]  # a blank of any kind
+_SECTIONS = f"""WITH {_LINES}, k AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}{_S}+[^\\t-\\r\\x1c-\\x20]') THEN 'h' WHEN regexp_matches(line, '[^' || '{_S[1:-1]}' || ']') THEN 'b' END AS kind FROM l),
+  p AS (SELECT *, kind = 'h' AND last_value(kind IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'b' AS cut FROM k),
+  n AS (SELECT *, count(*) FILTER (cut) OVER (PARTITION BY doc_id ORDER BY i) AS block_no FROM p)
+  SELECT doc_id, block_no::INT AS block_no, arg_max(regexp_extract(line, '^#{{1,6}}{_S}+(.*?){_S}*#*{_S}*$', 1), i) FILTER (kind = 'h') AS section, string_agg(line, chr(10) ORDER BY i) AS block FROM n GROUP BY doc_id, block_no"""
+_MARKDOWN = f"""WITH {_LINES}, f AS (SELECT *, regexp_matches(line, '^{_S}*(```|~~~)') AS fence, regexp_matches(line, '^{_S}*\\|.*\\|{_S}*$') AS bar, count(*) FILTER (regexp_matches(line, '^{_S}*(```|~~~)')) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l),
+  k AS (SELECT *, CASE WHEN n % 2 = 1 OR fence THEN (n + 1) // 2 END AS code FROM f),
+  r AS (SELECT *, code IS NULL AND bar AS t, i - row_number() OVER (PARTITION BY doc_id, code IS NULL AND bar ORDER BY i) AS run FROM k),
+  w AS (SELECT *, CASE WHEN code IS NOT NULL THEN 'c' || code WHEN t AND count(*) OVER (PARTITION BY doc_id, t, run) > 1 THEN 't' || run ELSE 'p' END AS kind FROM r),
+  c AS (SELECT *, kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS new FROM w), g AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS seg FROM c),
+  s AS (SELECT doc_id, seg, any_value(kind) <> 'p' AS atomic, string_agg(line, chr(10) ORDER BY i) AS block FROM g GROUP BY doc_id, seg),
+  x AS (SELECT *, list_filter(string_split_regex(block, '{_WS}'), lambda x: x <> '') AS v FROM s),
+  o AS (SELECT doc_id, seg, 0 AS st, block AS text FROM x WHERE atomic UNION ALL SELECT doc_id, seg, st, array_to_string(v[st + 1 : st + 200], ' ') FROM (SELECT doc_id, seg, v, unnest(range(0, greatest(0, ceil((len(v) - 200) / 180.0)::INT) * 180 + 1, 180)) AS st FROM x WHERE NOT atomic AND len(v) > 0))
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seg, st) - 1)::INT AS chunk_index, text FROM o"""
+
+
+@query(_SECTIONS)
 def split_sections(spark, d):
     return chunking.sections(table(spark, d, "documents"))
 
 
-@query()
+@query(_MARKDOWN)
 def chunk_markdown(spark, d):
     return chunking.chunk_markdown(table(spark, d, "documents"))
 

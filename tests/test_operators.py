@@ -1,3 +1,4 @@
+import itertools
 import json
 import zipfile
 from datetime import datetime
@@ -21,34 +22,57 @@ def rows(df):
 # ---------------------------------------------------------------- chunking
 
 
+def plain_chunks(text, size=chunking.SIZE, overlap=chunking.OVERLAP):
+    w = text.split()
+    return [" ".join(w[i : i + size]) for i in range(0, len(w), size - overlap) if i == 0 or i + overlap < len(w)]
+
+
+def joined_small(pieces, least):
+    """By runs of small pieces: each run is cut as soon as what is gathered reaches the floor."""
+    out = []
+    for small, run in itertools.groupby(pieces, lambda p: len(p) < least):
+        held = []
+        for p in run:
+            if not held and not p:
+                continue
+            held.append(p)
+            if not small or len("\n\n".join(held)) >= least:
+                out.append("\n\n".join(held))
+                held = []
+        if held and "\n\n".join(held):
+            out.append("\n\n".join(held))
+    return out
+
+
 @pytest.mark.parametrize("n", [0, 1, 199, 200, 201, 380, 381, 1000])
 def test_word_chunks_like_plain(spark, n):
     text = " ".join(f"w{i}" for i in range(n))
     got = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    assert [r.text for r in chunking.chunk_text(got).orderBy("chunk_index").collect()] == chunking.plain_chunks(text)
+    assert [r.text for r in chunking.chunk_text(got).orderBy("chunk_index").collect()] == plain_chunks(text)
 
 
 def test_bad_sizes():
     for size, overlap in ((0, 0), (5, 5), (5, -1)):
         with pytest.raises(ValueError):
-            chunking.plain_chunks("a", size, overlap)
+            chunking.chunk_text(None, "a", "b", size, overlap)
 
 
 def test_sections():
     text = "lead\n# A\n## B\nbody\n#no heading\n### C ###\nend"
-    assert chunking.split_sections(text, "start") == [("start", "lead"), ("B", "# A\n## B\nbody\n#no heading"), ("C", "### C ###\nend")]
+    assert chunking.blocks(text, "start") == [("start", "lead"), ("B", "# A\n## B\nbody\n#no heading"), ("C", "### C ###\nend")]
 
 
 def test_atomic_blocks():
     text = "a b\n| x |\n|---|\n| 1 |\nc\n```\ncode | x\n```\n| single"
     assert [a for a, _ in chunking.segments(text)] == [False, True, False, True, False]
-    assert chunking.markdown_chunks("| a |\n| b |", 1, 0) == ["| a |\n| b |"]
+    assert chunking.pieces("| a |\n| b |", 1, 0) == ["| a |\n| b |"]
+    assert chunking.segments("| a\n| b") == [(False, "| a\n| b")] and chunking.segments("```\n| a |\n~~~\nx\r\n| one |") == [(True, "```\n| a |\n~~~"), (False, "x\n| one |")]
 
 
 @pytest.mark.parametrize("pieces", [[], ["aa"], ["aaaaa"], ["a", "b", "cccccc", "d"], ["aaa", "bbb", "c"], ["", "aaaaaa", "", "b", ""]])
 def test_coalesce_fold_like_plain(spark, pieces):
     df = spark.createDataFrame([(pieces,)], "p array<string>").select(chunking.coalesce_small(F.col("p"), 5).alias("x"))
-    assert df.head()["x"] == chunking.coalesced(pieces, 5)
+    assert df.head()["x"] == joined_small(pieces, 5)
 
 
 def test_pages_carry_sections(spark):
