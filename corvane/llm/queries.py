@@ -18,12 +18,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks")
-    return repeated_lines.without_lines(chunks, repeated_lines.repeated_lines(chunks))
+    return repeated_lines.cleaned(table(spark, d, "chunks"))
 
 
 def p2_merges(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.incremental(table(spark, d, "chunks"), parts=2)
+    return repeated_lines.incremental(table(spark, d, "chunks"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -78,15 +77,16 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_clean, p2_merg
 
 _MONTHS = "|".join(sorted(set(repeated_lines._MONTHS), key=lambda m: (-len(m), m)))
 
-ORACLES: dict[str, str] = {
-    "p2_found": f"""
-        WITH c AS (SELECT DISTINCT id, source, text, nullif(regexp_replace(lower(trim(publisher)), '^www\\.', ''), '') AS p FROM chunks WHERE source IS NOT NULL),
+_P2 = f"""WITH c AS (SELECT DISTINCT id, source, text, nullif(regexp_replace(lower(trim(publisher)), '^www\\.', ''), '') AS p FROM chunks WHERE source IS NOT NULL),
         s AS (SELECT source, max(p) AS site FROM c GROUP BY source HAVING max(p) IS NOT NULL), n AS (SELECT site, count(*) AS docs FROM s GROUP BY site),
         l AS (SELECT id, source, unnest(range(1, len(a) + 1)) AS line_no, unnest(a) AS line FROM (SELECT id, source, string_split(coalesce(text, ''), chr(10)) AS a FROM c)),
         k AS (SELECT id, site, source, CAST(line_no AS INTEGER) AS line_no, regexp_replace(regexp_replace(regexp_replace(lower(line), '&[a-z]+;', ' ', 'g'), '\\b({_MONTHS})\\b', '', 'g'), '[^\\p{{L}}]', '', 'g') AS key FROM l JOIN s USING (source)),
-        r AS (SELECT site, key FROM k JOIN n USING (site) WHERE key <> '' GROUP BY site, key, docs HAVING count(DISTINCT source) >= 5 AND count(DISTINCT source) * 5 >= docs)
-        SELECT DISTINCT id, line_no FROM k JOIN r USING (site, key)
-    """,
+        r AS (SELECT site, key FROM k JOIN n USING (site) WHERE key <> '' GROUP BY site, key, docs HAVING count(DISTINCT source) >= 5 AND count(DISTINCT source) * 5 >= docs)"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"{_P2} SELECT DISTINCT id, line_no FROM k JOIN r USING (site, key)",
+    "p2_clean": f"""{_P2}, x AS (SELECT DISTINCT id, line_no FROM k JOIN r USING (site, key)), d AS (SELECT DISTINCT id, text FROM chunks), y AS (SELECT id, list(line_no) AS gone FROM x GROUP BY id)
+        SELECT id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda t, i: NOT list_contains(gone, i)), chr(10)) END AS text, coalesce(len(gone), 0)::INT AS n_removed FROM d LEFT JOIN y USING (id)""",
     "p5_found": """
         SELECT DISTINCT 'page' AS item_type, source AS item, CAST(i AS INTEGER) AS page_no
         FROM doc_plans, unnest(range(1, len(pages) + 1)) AS t(i) WHERE length(pages[i]) > 2400

@@ -2,6 +2,7 @@ import base64
 import itertools
 import os
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -155,16 +156,42 @@ def test_repeated_lines(spark):
 def test_merging_in_parts_gives_the_same(spark):
     chunks = site(spark)
     first = chunks.filter(F.col("id").isin("c0", "c1", "c2", "n1", "n4"))
-    a = repeated_lines.merge(None, first)
-    assert a.repeated.count() == 0
+    zero = repeated_lines.open_state(spark)
+    a = repeated_lines.merge(zero, first)
+    assert a.repeated.count() == 0 and zero.repeated.count() == 0
     b = repeated_lines.merge(a, chunks.join(first.select("id"), "id", "left_anti"))
     risen, fallen = repeated_lines.crossed(a, b)
     assert risen.count() == 1 and fallen.count() == 0
     assert rows(repeated_lines.occurrences(b)) == SITE
-    # Many new documents without the line take it below a fifth again.
+    # Many new documents without the line take it below a fifth again; the chunks that held it are built again.
     more = spark.createDataFrame([chunk(f"m{i}", f"unlike {'x' * i}", f"m{i}", "site.org") for i in range(40)], CHUNK)
     c = repeated_lines.merge(b, more)
     assert repeated_lines.crossed(b, c)[1].count() == 1 and repeated_lines.occurrences(c).count() == 0
+    built = {r.id: r.text for r in repeated_lines.rebuild(b, c, chunks.unionByName(more)).collect()}
+    assert set(built) == {i for i, _ in SITE} | {f"m{i}" for i in range(40)} and "rights" in built["c0"].lower()
+
+
+def test_a_state_is_found_again_by_its_name(spark, tmp_path):
+    chunks, path = site(spark), str(tmp_path / "state")
+    first = chunks.filter("id < 'c3'")
+    assert repeated_lines.merge(repeated_lines.open_state(spark, path), first).version == 1
+    again = repeated_lines.open_state(spark, path)
+    assert again.version == 1 and repeated_lines.open_state(spark, str(tmp_path / "none")).version == 0
+    assert rows(repeated_lines.occurrences(repeated_lines.merge(again, chunks.filter("id >= 'c3'")))) == SITE
+    # A merge that was lost before its end isn't seen, and is done again.
+    shutil.rmtree(f"{path}/done/2")
+    half = repeated_lines.open_state(spark, path)
+    assert half.version == 1 and rows(repeated_lines.occurrences(repeated_lines.merge(half, chunks.filter("id >= 'c3'")))) == SITE
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_any_number_of_parts_gives_the_same_texts(spark, parts):
+    chunks = spark.read.parquet(f"{DATA}/chunks.parquet")
+    found = repeated_lines.repeated_lines(chunks, parts=1)
+    want = rows(repeated_lines.without_lines(chunks, found))
+    assert rows(repeated_lines.cleaned(chunks, parts)) == want
+    n = repeated_lines.incremental(chunks, parts).collect()
+    assert len(n) == parts and sum(r.n_new for r in n) >= chunks.select("id").distinct().count() and all(r.n_rebuilt >= r.n_new for r in n)
 
 
 def test_repeated_lines_like_brute_force(spark):
