@@ -16,6 +16,10 @@ from pyspark.sql.types import StringType
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
+# Fixed value: what ends a line.
+LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
 def words(text: Column) -> Column:
     """The words between white space; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda x: x != "")
@@ -107,8 +111,9 @@ def snippet(text: Column, anchor: Column, around: int = 140, plain: int = 280) -
 
 
 def cited_indices(answer: Column) -> Column:
-    """The distinct numbers of `[n]` markers in the order they are first seen."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int")))
+    """The distinct numbers of `[n]` markers in the order they are first seen; those beyond a bigint are the largest one."""
+    most = F.lit(2**63 - 1)
+    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: F.coalesce(x.try_cast("bigint"), most)))
 
 
 def invalid_citations(answer: Column, n_hits: Column) -> Column:

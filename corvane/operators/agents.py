@@ -30,6 +30,11 @@ def reclaimable(state: DataFrame, now: Column, idle: str = "5 seconds") -> DataF
     return state.filter((F.col("state") == "inflight") & (F.col("last_ts") <= now - F.expr(f"INTERVAL {idle}")))
 
 
+def reclaim(state: DataFrame, now: Column, consumer: str, idle: str = "5 seconds") -> DataFrame:
+    """(task_id, consumer, attempts): idle tasks handed over to `consumer`; handing over counts as a delivery."""
+    return reclaimable(state, now, idle).select("task_id", F.lit(consumer).alias("consumer"), (F.col("attempts") + 1).alias("attempts"))
+
+
 def queue_stats(state: DataFrame) -> DataFrame:
     return state.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("pending", "inflight", "dead", "done")])
 
@@ -131,6 +136,14 @@ def dag_valid(nodes: DataFrame) -> DataFrame:
     return n.join(m, "run_id", "left").select("run_id", "n_nodes", ((F.col("n_names") == F.col("n_nodes")) & (F.coalesce("n_waved", F.lit(0)) == F.col("n_nodes"))).alias("valid"))
 
 
+def planned(nodes: DataFrame, capability: str = "answer") -> DataFrame:
+    """(run_id, node_id, depends_on) of the valid plans; a plan that isn't valid becomes one node that does it all."""
+    valid = dag_valid(nodes)
+    kept = nodes.select("run_id", "node_id", "depends_on").join(valid.filter("valid").select("run_id"), "run_id", "left_semi")
+    alone = valid.filter("NOT valid").select("run_id", F.lit(capability).alias("node_id"), F.array().cast("array<string>").alias("depends_on"))
+    return kept.unionByName(alone)
+
+
 def plan_status(nodes: DataFrame, results: DataFrame) -> DataFrame:
     """(run_id, position, node_id, status): results in the order of the plan; a node without one failed."""
     return nodes.join(results.select("run_id", "node_id", F.lit("done").alias("status")).distinct(), ["run_id", "node_id"], "left").select("run_id", "position", "node_id", F.coalesce("status", F.lit("failed")).alias("status"))
@@ -152,6 +165,18 @@ def delete_conversation(conversations: DataFrame, messages: DataFrame, conversat
     return keep(conversations), keep(messages)
 
 
+def append_turns(messages: DataFrame, turns: DataFrame) -> DataFrame:
+    """Turns (conversation_id, ...) put behind those of their conversation, in the order of their `created_at`."""
+    last = messages.groupBy("conversation_id").agg(F.max("seq").alias("last"))
+    order = F.row_number().over(Window.partitionBy("conversation_id").orderBy("created_at"))
+    placed = turns.withColumn("n", order).join(last, "conversation_id", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.col("n")).drop("n", "last")
+    return messages.unionByName(placed.select(*messages.columns))
+
+
+def rename_conversation(conversations: DataFrame, conversation_id: str, title: str) -> DataFrame:
+    return conversations.withColumn("title", F.when(F.col("conversation_id") == conversation_id, F.lit(title)).otherwise(F.col("title")))
+
+
 def run_view(events: DataFrame, results: DataFrame, state: DataFrame) -> DataFrame:
     """(run_id, n_events, first_ts, last_ts, n_results, state): what is known of each run in the log."""
     log = events.groupBy("run_id").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

@@ -57,6 +57,17 @@ def retrieval_summary(rows: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5), kin
     return per.groupBy(*by).agg(F.count("*").alias("n_queries"), *[F.round(F.avg(f"r{k}"), 6).alias(f"recall_at_{k}") for k in cutoffs], F.round(F.avg("h1"), 6).alias("hit_at_1"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
+def resolve_gold(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id): chunks (id, text) that have any of a query's needles (query_id, needles), case and blanks aside.
+
+    Every needle is held against every text, as written; each distinct needle is looked for once, whoever asks for it.
+    """
+    flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    asked = queries.select("query_id", F.explode("needles").alias("n")).select("query_id", flat(F.col("n")).alias("needle")).filter("needle <> ''").distinct()
+    hay = chunks.select("id", flat(F.col("text")).alias("hay"))
+    return hay.join(asked.select("needle").distinct(), F.contains("hay", "needle")).select("id", "needle").join(asked, "needle").select("query_id", "id").distinct()
+
+
 def gold_triage(queries: DataFrame) -> DataFrame:
     """(query_id, state) of (query_id, n_gold, expected_missing): resolved, known_gap, rot or stale_flag."""
     some, flag = F.col("n_gold") > 0, F.coalesce("expected_missing", F.lit(False))

@@ -15,6 +15,7 @@ ABSTENTION = "I couldn't find that in the reports I have access to, so I can't a
 def caveat(answer: Column, n_hits: Column) -> Column:
     """The answer, with a note on markers that name no hit."""
     bad = invalid_citations(answer, n_hits)
+    # Fixed value: the note.
     note = F.concat(F.lit("\n\n_Note: "), F.array_join(F.transform(bad, lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))), ", "), F.lit(" could not be matched to a retrieved source and may be unreliable._"))
     return F.when(F.size(bad) > 0, F.concat(answer, note)).otherwise(answer)
 
@@ -22,10 +23,10 @@ def caveat(answer: Column, n_hits: Column) -> Column:
 def gate(answers: DataFrame, model_verdict: str | None = None) -> DataFrame:
     """Adds grounded, invalid, reason and abstention from (answer, n_hits).
 
-    Without hits: not grounded, abstain. With invalid markers: not grounded, no abstention. A model's verdict that
+    The reasons are fixed values. Without hits: not grounded, abstain. With invalid markers: not grounded, no abstention. A model's verdict that
     starts with UNSUPPORTED abstains, too. A null answer cites nothing.
     """
-    bad = F.coalesce(invalid_citations(F.col("answer"), F.col("n_hits")), F.array().cast("array<int>"))
+    bad = F.coalesce(invalid_citations(F.col("answer"), F.col("n_hits")), F.array().cast("array<bigint>"))
     none = F.col("n_hits") == 0
     unsupported = F.coalesce(F.upper(F.col(model_verdict)).startswith("UNSUPPORTED"), F.lit(False)) if model_verdict else F.lit(False)
     return answers.withColumn("invalid", bad).withColumn("grounded", ~none & (F.size("invalid") == 0) & ~unsupported).withColumn(
@@ -35,12 +36,20 @@ def gate(answers: DataFrame, model_verdict: str | None = None) -> DataFrame:
     ).withColumn("abstention", F.when(none | unsupported, F.lit(ABSTENTION)))
 
 
+def answer_gate(answers: DataFrame) -> DataFrame:
+    """(…, answer): what a chat says of (answer, n_hits, retrieved): without hits it abstains, if it looked for any; markers
+    that name no hit get a note, the answer stays."""
+    none = F.coalesce(F.col("retrieved"), F.lit(True)) & (F.col("n_hits") == 0)
+    noted = F.when(F.col("n_hits") > 0, caveat(F.col("answer"), F.col("n_hits"))).otherwise(F.col("answer"))
+    return answers.withColumn("answer", F.when(none, F.lit(ABSTENTION)).otherwise(noted))
+
+
 def node_gate(nodes: DataFrame) -> DataFrame:
     """(…, summary, verdict): nodes (summary, sources: array of (source, text)). Skipped if there are sources, but none has text."""
     texts = F.filter("sources", lambda s: F.coalesce(F.length(s["text"]), F.lit(0)) > 0)
     n = F.coalesce(F.size("sources"), F.lit(0))
     skip = (n > 0) & (F.size(texts) == 0)
-    bad = F.size(F.coalesce(invalid_citations(F.col("summary"), n), F.array().cast("array<int>"))) > 0
+    bad = F.size(F.coalesce(invalid_citations(F.col("summary"), n), F.array().cast("array<bigint>"))) > 0
     verdict = F.when(skip, "skipped").when(n == 0, "abstained").when(bad, "ungrounded").otherwise("grounded")
     return nodes.withColumn("verdict", verdict).withColumn("summary", F.when(F.col("verdict") == "abstained", F.lit(ABSTENTION)).otherwise(F.col("summary")))
 

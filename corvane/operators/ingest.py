@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import basename, dedup_key, letter_count, publisher_norm
+from corvane.functions.text import LINE_END, basename, content_hash, dedup_key, letter_count, publisher_norm, words
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
@@ -47,6 +47,35 @@ def delta(current: DataFrame, known: DataFrame) -> DataFrame:
     return a.join(b, "source", "full").select("source", action.alias("action"))
 
 
+def apply_changes(library: DataFrame, state: DataFrame, files: DataFrame, ingest: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, state, outcome) after taking in `files` (source, content_hash, text) by `ingest`, which gives chunks with a source.
+
+    Files with the known hash are skipped, changed ones lose their old chunks first, files that are gone keep theirs.
+    A file without text fails alone: it is in the outcome (source, action), its old chunks and state stay, and the next run
+    tries it again. State is (source, content_hash).
+    """
+    known = state.select("source", F.col("content_hash").alias("was"))
+    action = F.when(F.col("was").isNotNull() & (F.col("was") == F.col("content_hash")), "unchanged").when(F.col("text").isNull(), "failed").when(F.col("was").isNull(), "new").otherwise("changed")
+    judged = files.select("source", "content_hash", "text").join(known, "source", "left").withColumn("action", action)
+    taken = judged.filter(F.col("action").isin("new", "changed"))
+    gone = taken.filter("action = 'changed'").select("source")
+    chunks = delete_by(library, "source", gone).unionByName(ingest(taken.select("source", "text")).select(*library.columns))
+    kept = state.select("source", "content_hash").join(taken.select("source"), "source", "left_anti").unionByName(taken.select("source", "content_hash"))
+    return chunks, kept, judged.select("source", "action")
+
+
+def scan(table: DataFrame, limit: int, key: str = "id") -> DataFrame:
+    """The first `limit` rows by their key, so that every run gives the same."""
+    return table.orderBy(key).limit(limit)
+
+
+def chunk_metadata(text: Column, index: Column, supplied: Column) -> Column:
+    """A chunk's metadata: text, chunk_index and content_hash are derived, but what the caller supplies under these names holds."""
+    derived = F.create_map(F.lit("text"), text, F.lit("chunk_index"), index.cast("string"), F.lit("content_hash"), content_hash(text))
+    own = F.coalesce(supplied, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(derived, lambda k, _: ~F.map_contains_key(own, k)), own)
+
+
 def run_summary(actions: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: files by action, and chunks of the sources that were taken in, by category, as sorted JSON."""
     n = lambda a: F.count_if(F.col("action") == a).alias(f"n_{a}")
@@ -57,9 +86,9 @@ def run_summary(actions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def manifest_join(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files (source, folder) with the last manifest row of their name in their folder; the folder's category wins."""
-    last = manifest.filter("filename IS NOT NULL").groupBy("folder", F.lower(basename(F.col("filename"))).alias("name")).agg(F.max_by(F.struct("publisher", "published_year"), F.struct("manifest_id", "line_no")).alias("m"))
-    return files.withColumn("name", F.lower(basename(F.col("source")))).join(last, ["folder", "name"], "left").select("source", "folder", F.col("m.publisher").alias("publisher"), F.col("m.published_year").alias("published_year"), F.split("folder", "/")[0].alias("category"))
+    """Files (source, folder) with the last manifest row of exactly their name in their folder; the folder's category wins."""
+    last = manifest.filter("filename IS NOT NULL").groupBy("folder", basename(F.col("filename")).alias("name")).agg(F.max_by(F.struct("publisher", "published_year"), F.struct("manifest_id", "line_no")).alias("m"))
+    return files.withColumn("name", basename(F.col("source"))).join(last, ["folder", "name"], "left").select("source", "folder", F.col("m.publisher").alias("publisher"), F.col("m.published_year").alias("published_year"), F.split("folder", "/")[0].alias("category"))
 
 
 def positional(files: DataFrame, rows: DataFrame, batch: dict[str, str]) -> DataFrame:
@@ -72,18 +101,20 @@ def positional(files: DataFrame, rows: DataFrame, batch: dict[str, str]) -> Data
 
 
 def recover_dropped(pages: DataFrame, least_letters: int = 10, share: float = 0.25, least_pages: int = 3) -> DataFrame:
-    """(source, page, recovered) of (source, page, layout_text, plain_text): lines that the layout parser dropped.
+    """(source, page, recovered) of (source, page, layout_text, plain_text): lines that the layout parser dropped, blanks single.
 
     Lines with few letters, repeats within the page and running headers (on several pages and a share of them) are left
-    out. Lines are counted per source and key by a partial aggregation.
+    out; a page that nothing is recovered of has an empty text. Lines are counted per source and key by a partial
+    aggregation.
     """
-    lines = pages.select("source", "page", dedup_key(F.coalesce("layout_text", F.lit(""))).alias("have"), F.posexplode(F.split("plain_text", "\n")).alias("pos", "line"))
-    keyed = lines.withColumn("key", dedup_key(F.col("line")))
+    lines = pages.select("source", "page", dedup_key(F.coalesce("layout_text", F.lit(""))).alias("have"), F.posexplode(F.split("plain_text", LINE_END)).alias("pos", "line"))
+    keyed = lines.filter(letter_count(F.col("line")) >= least_letters).withColumn("key", dedup_key(F.col("line")))
     total = pages.groupBy("source").agg(F.countDistinct("page").alias("n_pages"))
-    header = keyed.filter("key <> ''").select("source", "key", "page").distinct().groupBy("source", "key").agg(F.count("*").alias("on_pages")).join(total, "source").filter((F.col("on_pages") >= least_pages) & (F.col("on_pages") >= share * F.col("n_pages")))
-    wanted = keyed.filter((letter_count(F.col("line")) >= least_letters) & (F.col("key") != "") & ~F.contains(F.col("have"), F.col("key"))).join(header.select("source", "key"), ["source", "key"], "left_anti")
-    once = wanted.groupBy("source", "page", "key").agg(F.min(F.struct("pos", "line")).alias("f"))
-    return once.groupBy("source", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda x: F.trim(x["line"])), "\n").alias("recovered"))
+    header = keyed.select("source", "key", "page").distinct().groupBy("source", "key").agg(F.count("*").alias("on_pages")).join(total, "source").filter((F.col("on_pages") >= least_pages) & (F.col("on_pages") >= share * F.col("n_pages")))
+    wanted = keyed.filter((F.col("key") != "") & ~F.contains(F.col("have"), F.col("key"))).join(header.select("source", "key"), ["source", "key"], "left_anti")
+    once = wanted.groupBy("source", "page", "key").agg(F.min(F.struct("pos", F.array_join(words(F.col("line")), " ").alias("line"))).alias("f"))
+    found = once.groupBy("source", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["line"]), "\n").alias("recovered"))
+    return pages.select("source", "page").join(found, ["source", "page"], "left").select("source", "page", F.coalesce("recovered", F.lit("")).alias("recovered"))
 
 
 def align_recovered(layout: DataFrame, recovered: DataFrame) -> DataFrame:

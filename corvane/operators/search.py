@@ -421,17 +421,21 @@ def neighbour_window(hits: DataFrame, chunks: DataFrame, radius: int, same_secti
     return kept.groupBy("query_id", "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n\n").alias("text"), F.min("at").alias("first_index"), F.max("at").alias("last_index"))
 
 
-def expand(hits: DataFrame, chunks: DataFrame, radius: int = 1, max_chunks: int = 5) -> DataFrame:
+def expand(hits: DataFrame, chunks: DataFrame, radius: int = 1, max_chunks: int = 5, same_section: bool = False) -> DataFrame:
     """Neighbour expansion with consumption: in the order of rank, a hit whose own chunk an earlier hit took is dropped,
     and neighbours already taken are left out. (query_id, id, rank, text, n_chunks)
 
-    The fold is over one query's hits, at most a search's k; the neighbours come by an equi-join.
+    A window ends at a gap and, with `same_section`, where the section (a column of `chunks`) is another than that of a
+    hit that has one. Empty texts leave no blank paragraph. The fold is over one query's hits, at most a search's k; the
+    neighbours come by an equi-join.
     """
     r = min(radius, (max_chunks - 1) // 2)
     asked = hits.select("query_id", "id", "rank", "source", "chunk_index", "text")
-    span = asked.select("source", F.explode(F.sequence(F.col("chunk_index") - r, F.col("chunk_index") + r)).alias("at")).distinct()
-    near = span.join(chunks.select("source", F.col("chunk_index").alias("at"), F.col("text").alias("t")).dropDuplicates(["source", "at"]), ["source", "at"])
-    windows = asked.select("query_id", "id", "source", F.explode(F.sequence(F.col("chunk_index") - r, F.col("chunk_index") + r)).alias("at")).join(near, ["source", "at"]).groupBy("query_id", "id").agg(F.collect_list(F.struct("at", "t")).alias("near"))
+    around = F.sequence(F.greatest(F.lit(0), F.col("chunk_index") - r), F.col("chunk_index") + r)
+    span = asked.select("source", F.explode(around).alias("at")).distinct()
+    section = F.col("section") if same_section else F.lit(None).cast("string")
+    near = span.join(chunks.select("source", F.col("chunk_index").alias("at"), F.col("text").alias("t"), section.alias("s")).dropDuplicates(["source", "at"]), ["source", "at"])
+    windows = asked.select("query_id", "id", "source", F.explode(around).alias("at")).join(near, ["source", "at"]).groupBy("query_id", "id").agg(F.collect_list(F.struct("at", "t", "s")).alias("near"))
     rows = asked.join(windows, ["query_id", "id"], "left")
 
     def fold(hits: list) -> list[tuple]:
@@ -444,16 +448,19 @@ def expand(hits: DataFrame, chunks: DataFrame, radius: int = 1, max_chunks: int
             at = int(h.chunk_index)
             if (h.source, at) in taken:
                 continue
-            texts = {int(x["at"]): x["t"] for x in (h.near if h.near is not None else ())}
-            texts.setdefault(at, h.text)
-            own = [at]
+            found = {int(x["at"]): (x["t"], x["s"]) for x in (h.near if h.near is not None else ())}
+            own_text, own_section = found.get(at, (None, None))
+            found[at] = (h.text if own_text is None else own_text, own_section)
+            reach = [at]
             for step in (-1, 1):
                 i = at + step
-                while i in texts and abs(i - at) <= r and (h.source, i) not in taken:
-                    own.append(i)
+                while i in found and abs(i - at) <= r and not (own_section and found[i][1] != own_section):
+                    reach.append(i)
                     i += step
+            own = sorted(i for i in reach if (h.source, i) not in taken)
             taken |= {(h.source, i) for i in own}
-            out.append((h.query_id, h.id, h.rank, "\n\n".join(texts[i] or "" for i in sorted(own)), len(own)))
+            texts = [t for i in own if (t := found[i][0])]
+            out.append((h.query_id, h.id, h.rank, "\n\n".join(texts) if texts else h.text, len(own)))
         return out
 
     kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}

@@ -1,6 +1,7 @@
 """Every query of the core by name: (SparkSession, folder of tables) -> DataFrame, and the SQL that gives the same rows.
 
-The library of these queries: every document is a row; its vector is that of `vec_id = doc_id mod 500`. Queries of a
+The library of these queries: every document is a row; its vector is that of `vec_id = doc_id mod n`, n being
+the number of vectors. Queries of a
 search are the rows whose id is divisible by 20, against all rows. vectors_topk and the IVF queries search the
 embeddings table itself, every vector of it.
 """
@@ -28,14 +29,14 @@ def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql.replace("{LIB}", _LIB).replace("{DENSE}", _DENSE).replace("{BM25}", _BM25).replace("{LAST}", _LAST).replace("{TASKS}", _TASKS).replace("{LOG}", _LOG)
+            ORACLES[f.__name__] = sql.replace("{LIB}", _LIB).replace("{DENSE}", _DENSE).replace("{BM25}", _BM25).replace("{LAST}", _LAST).replace("{TASKS}", _TASKS)
         return f
 
     return add
 
 
 _LIB = """lib AS (SELECT d.doc_id AS id, d.text, d.title, d.category, d.published_date, d.source AS publisher, e.embedding::DOUBLE[] AS emb
-    FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % 500),
+    FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)),
   q AS (SELECT id AS query_id, title AS query, emb AS qemb FROM lib WHERE id % 20 = 0)"""
 _DENSE = """dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
     FROM (SELECT query_id, id, round(list_cosine_similarity(emb, qemb), 6) + 0.0 AS score FROM lib, q))"""
@@ -49,16 +50,15 @@ _BM25 = f"""toks AS (SELECT id, {_TERMS.format("text")} AS t FROM lib),
     FROM asked JOIN df USING (term) JOIN post USING (term), stats GROUP BY query_id, id),
   bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM lex)"""
 _LAST = "m AS (SELECT DISTINCT seq, conversation_id, question, answer FROM messages)"
-_TASKS = """ev AS (SELECT user_id AS task_id, ts, CASE event_type WHEN 'signup' THEN 'enqueued' WHEN 'click' THEN 'claimed' WHEN 'purchase' THEN 'acked' ELSE event_type END AS event FROM events WHERE ts < TIMESTAMP '2024-01-03'),
+_TASKS = """ev AS (SELECT user_id * 100 + day(ts) AS task_id, ts, CASE event_type WHEN 'signup' THEN 'enqueued' WHEN 'click' THEN 'claimed' WHEN 'purchase' THEN 'acked' ELSE event_type END AS event FROM events),
   st AS (SELECT task_id, count(*) FILTER (event = 'claimed') AS attempts, count(*) FILTER (event = 'acked') AS acks, max(ts) AS last_ts FROM ev GROUP BY task_id),
   state AS (SELECT task_id, CASE WHEN acks > 0 THEN 'done' WHEN attempts > 3 THEN 'dead' WHEN attempts > 0 THEN 'inflight' ELSE 'pending' END AS state, attempts, last_ts FROM st)"""
 
-_LOG = _TASKS.replace(" WHERE ts < TIMESTAMP '2024-01-03'", "")  # the same over the whole log
-
 
 def library(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "title", "category", "published_date", F.col("source").alias("publisher"), F.pmod("doc_id", F.lit(500)).alias("v"))
+    n = max(1, vectors.count())  # from the file's footers
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "title", "category", "published_date", F.col("source").alias("publisher"), F.pmod("doc_id", F.lit(n)).alias("v"))
     return docs.join(vectors, "v").drop("v").withColumn("source_type", X.classify_source_type(F.regexp_replace("publisher", r"\.example$", "")))
 
 
@@ -66,6 +66,9 @@ def asked(lib: DataFrame) -> DataFrame:
     return lib.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("query"), "embedding")
 
 
+_WS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
 # ---------------------------------------------------------------- drifting files
 
 
@@ -167,7 +170,7 @@ def snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", X.snippet(F.col("text"), F.lit("market")).alias("snippet"))
 
 
-@query("""WITH k AS (SELECT DISTINCT seq, list_transform(regexp_extract_all(answer, '\\[([0-9]{1,9})\\]', 1), lambda x: x::INT) AS l FROM messages WHERE answer IS NOT NULL)
+@query("""WITH k AS (SELECT DISTINCT seq, list_transform(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda x: coalesce(try_cast(x AS BIGINT), 9223372036854775807)) AS l FROM messages WHERE answer IS NOT NULL)
   SELECT seq, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS markers FROM k""")
 def cited_indices(spark, d):
     m = table(spark, d, "messages").select("seq", "answer").distinct().filter("answer IS NOT NULL")
@@ -206,7 +209,6 @@ def metadata_roundtrip(spark, d):
 
 # ---------------------------------------------------------------- chunking
 
-_WS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_WS}'), lambda x: x <> '') AS w FROM documents),
@@ -259,7 +261,14 @@ def ingest_pages(spark, d):
     return chunking.ingest_pages(_plans(spark, d), least=400)
 
 
-@query()
+@query(r"""WITH p AS (SELECT source, arg_max(pages, planned_at) AS pages FROM doc_plans GROUP BY source), x AS (SELECT source, i - 1 AS page, pages[i] AS t FROM (SELECT source, pages, unnest(range(1, len(pages) + 1)) AS i FROM p) WHERE pages[i] IS NOT NULL),
+  y AS (SELECT *, regexp_replace(lower(array_to_string(list_filter(string_split(t, chr(10)), lambda l, j: j % 3 <> 0), chr(10))), '[^a-z0-9]+', '', 'g') AS have FROM x),
+  l AS (SELECT source, page, have, unnest(a) AS line, unnest(range(len(a))) AS pos FROM (SELECT *, string_split_regex(t, '\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS a FROM y)),
+  k AS (SELECT *, regexp_replace(lower(line), '[^a-z0-9]+', '', 'g') AS key FROM l WHERE length(regexp_replace(line, '[^\p{L}]', '', 'g')) >= 10),
+  h AS (SELECT source, key FROM k JOIN (SELECT source, count(DISTINCT page) AS n FROM x GROUP BY source) USING (source) GROUP BY source, key, n HAVING count(DISTINCT page) >= 3 AND count(DISTINCT page) >= 0.25 * n),
+  w AS (SELECT source, page, key, min(pos) AS pos, arg_min(line, pos) AS line FROM k ANTI JOIN h USING (source, key) WHERE key <> '' AND NOT contains(have, key) GROUP BY source, page, key),
+  r AS (SELECT source, page, string_agg(array_to_string(list_filter(string_split_regex(line, '{WS}'), lambda v: v <> ''), ' '), chr(10) ORDER BY pos) AS recovered FROM w GROUP BY source, page)
+  SELECT source, page::INT AS page, coalesce(recovered, '') AS recovered FROM x LEFT JOIN r USING (source, page)""".replace("{WS}", _WS).replace("\\\\", "\\"))
 def recover_dropped(spark, d):
     """The layout text is the page without every third line."""
     pages = _plans(spark, d).select("source", F.posexplode("pages").alias("page", "plain_text")).filter("plain_text IS NOT NULL")
@@ -451,7 +460,7 @@ def vectors_topk(spark, d):
 @query()
 def ivf_topk(spark, d):
     vectors, queries = _vectors(spark, d)
-    return search.ivf_topk(vectors, queries, 10, search.kmeans_centers(vectors, 16), 6)
+    return search.ivf_topk(vectors, queries, 10, search.kmeans_centers(vectors, 16), 13)
 
 
 @query()
@@ -505,6 +514,32 @@ def ingest_delta(spark, d):
     return ingest.delta(p.groupBy("source").agg(F.max_by("content_hash", "planned_at").alias("content_hash")), known)
 
 
+@query(r"""WITH f AS (SELECT 'd' || doc_id AS source, text, CASE WHEN text IS NULL THEN 'none' ELSE sha256(text) END AS h, doc_id % 3 = 0 AS fresh, doc_id % 5 = 0 AS old, len(list_filter(string_split_regex(coalesce(text, ''), '{WS}'), lambda x: x <> '')) AS n FROM documents),
+  a AS (SELECT *, CASE WHEN NOT fresh AND NOT old THEN 'unchanged' WHEN text IS NULL THEN 'failed' WHEN fresh THEN 'new' ELSE 'changed' END AS action FROM f)
+  SELECT source, action, CASE WHEN action IN ('new', 'changed') THEN CASE WHEN n = 0 THEN 0 ELSE greatest(0, ceil((n - 200) / 180.0)::INT) + 1 END WHEN fresh THEN 0 ELSE 1 END::BIGINT AS n_chunks, (NOT fresh AND NOT old) OR action IN ('new', 'changed') AS known FROM a""".replace("{WS}", _WS).replace("\\\\", "\\"))
+def ingest_apply(spark, d):
+    """Documents as files: those divisible by 3 are new, others divisible by 5 have another hash than the one known; each known file has one old chunk."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source"), "text", F.coalesce(F.sha2("text", 256), F.lit("none")).alias("content_hash"), (F.col("doc_id") % 3 == 0).alias("fresh"), (F.col("doc_id") % 5 == 0).alias("old"))
+    known = docs.filter("NOT fresh")
+    state = known.select("source", F.when(F.col("old"), "before").otherwise(F.col("content_hash")).alias("content_hash"))
+    library = known.select("source", F.lit(0).alias("chunk_index"), F.lit("before").alias("text"))
+    chunks, state, outcome = ingest.apply_changes(library, state, docs, lambda files: chunking.chunk_text(files, "source"))
+    n = chunks.groupBy("source").agg(F.count("*").alias("n_chunks"))
+    now = state.join(docs.select("source", "content_hash"), ["source", "content_hash"], "left_semi").select("source", F.lit(True).alias("known"))
+    return outcome.join(n, "source", "left").join(now, "source", "left").select("source", "action", F.coalesce("n_chunks", F.lit(0).cast("bigint")).alias("n_chunks"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("SELECT DISTINCT id, coalesce(json_extract_string(metadata, '$.content_hash'), substr(sha256(text), 1, 16)) AS content_hash, coalesce(json_extract_string(metadata, '$.chunk_index'), chunk_index::VARCHAR) AS chunk_index, text AS own_text FROM chunks")
+def chunk_metadata(spark, d):
+    m = ingest.chunk_metadata(F.col("text"), F.col("chunk_index"), F.map_filter(F.from_json("metadata", "map<string,string>"), lambda _, v: v.isNotNull()))
+    return table(spark, d, "chunks").select("id", m.alias("m")).select("id", *[F.element_at("m", k).alias(n) for k, n in (("content_hash", "content_hash"), ("chunk_index", "chunk_index"), ("text", "own_text"))]).distinct()
+
+
+@query("SELECT doc_id, title FROM documents ORDER BY doc_id LIMIT 100")
+def scan_limit(spark, d):
+    return ingest.scan(table(spark, d, "documents").select("doc_id", "title"), 100, "doc_id")
+
+
 @query("""WITH a AS (SELECT source, CASE WHEN bool_or(coalesce(written, false)) THEN 'unchanged' WHEN bool_or(coalesce(failed, false)) THEN 'changed' ELSE 'new' END AS action FROM doc_plans GROUP BY source),
   c AS (SELECT split_part(source, '/', 1) AS category FROM a WHERE action IN ('new', 'changed'))
   SELECT count(*) FILTER (action = 'new') AS n_new, count(*) FILTER (action = 'changed') AS n_changed, count(*) FILTER (action = 'unchanged') AS n_unchanged, count(*) FILTER (action = 'removed') AS n_removed,
@@ -544,7 +579,7 @@ def page_stats(spark, d):
 
 
 @query("""WITH h AS (SELECT seq, count(DISTINCT hit_rank) AS n FROM hits GROUP BY seq), m AS (SELECT DISTINCT seq, answer FROM messages WHERE answer IS NOT NULL),
-  k AS (SELECT m.seq, coalesce(h.n, 0) AS n_hits, list_transform(regexp_extract_all(answer, '\\[([0-9]{1,9})\\]', 1), lambda x: x::INT) AS l FROM m LEFT JOIN h USING (seq)),
+  k AS (SELECT m.seq, coalesce(h.n, 0) AS n_hits, list_transform(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda x: coalesce(try_cast(x AS BIGINT), 9223372036854775807)) AS l FROM m LEFT JOIN h USING (seq)),
   b AS (SELECT seq, n_hits, list_filter(l, lambda x, i: list_position(l, x) = i AND (x < 1 OR x > n_hits)) AS bad FROM k)
   SELECT seq, n_hits, n_hits > 0 AND len(bad) = 0 AS grounded, CASE WHEN n_hits = 0 THEN 'no supporting context' WHEN len(bad) > 0 THEN 'citations outside context 1-' || n_hits || ': [' || array_to_string(bad, ', ') || ']' ELSE '' END AS reason FROM b""")
 def grounding_gate(spark, d):
@@ -557,13 +592,33 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return m.join(n, "seq", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)).cast("bigint"))
 
 
-@query()
+_NOTED = """a AS (SELECT seq, answer, coalesce(n, 0) AS n_hits, list_filter(l, lambda x, i: list_position(l, x) = i AND (x < 1 OR x > coalesce(n, 0))) AS bad FROM (SELECT m.*, h.n, list_transform(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda x: coalesce(try_cast(x AS BIGINT), 9223372036854775807)) AS l
+    FROM (SELECT DISTINCT seq, answer FROM messages WHERE answer IS NOT NULL) m LEFT JOIN (SELECT seq, count(DISTINCT hit_rank) AS n FROM hits GROUP BY seq) h USING (seq))),
+  c AS (SELECT *, CASE WHEN len(bad) > 0 THEN answer || chr(10) || chr(10) || '_Note: ' || array_to_string(list_transform(bad, lambda x: '[' || x || ']'), ', ') || ' could not be matched to a retrieved source and may be unreliable._' ELSE answer END AS noted FROM a)"""
+
+
+@query(f"WITH {_NOTED} SELECT seq, CASE WHEN n_hits = 0 THEN '{grounding.ABSTENTION.replace(chr(39), chr(39) * 2)}' ELSE noted END AS answer FROM c")
+def answer_gate(spark, d):
+    return grounding.answer_gate(_answers(spark, d).withColumn("retrieved", F.lit(True))).select("seq", "answer")
+
+
+@query(f"""WITH {_NOTED}, t AS (SELECT seq, count(*) AS n, count(*) FILTER (x <> '') AS told FROM (SELECT DISTINCT h.seq, h.hit_rank, CASE WHEN h.seq % 7 = 0 THEN '' ELSE h.id END AS x FROM hits h) GROUP BY seq), g AS (SELECT c.seq, coalesce(t.n, 0) AS n, coalesce(told, 0) AS told, list_filter(l, lambda x: x < 1 OR x > coalesce(t.n, 0)) AS bad
+    FROM (SELECT seq, list_transform(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda x: coalesce(try_cast(x AS BIGINT), 9223372036854775807)) AS l FROM c) c LEFT JOIN t USING (seq))
+  SELECT seq, CASE WHEN n > 0 AND told = 0 THEN 'skipped' WHEN n = 0 THEN 'abstained' WHEN len(bad) > 0 THEN 'ungrounded' ELSE 'grounded' END AS verdict FROM g""")
+def node_gate(spark, d):
+    """A turn is a node, its hits its sources; those of every seventh turn have no text."""
+    h = table(spark, d, "hits").select("seq", "hit_rank", F.when(F.col("seq") % 7 == 0, "").otherwise(F.col("id")).alias("text")).distinct()
+    sources = h.groupBy("seq").agg(F.collect_list(F.struct(F.col("hit_rank").cast("string").alias("source"), "text")).alias("sources"))
+    return grounding.node_gate(_answers(spark, d).select("seq", F.col("answer").alias("summary")).join(sources, "seq", "left")).select("seq", "verdict")
+
+
+@query(f"WITH {_NOTED} SELECT seq, noted AS answer FROM c")
 def citation_caveat(spark, d):
     return _answers(spark, d).select("seq", grounding.caveat(F.col("answer"), F.col("n_hits")).alias("answer"))
 
 
 @query("""WITH h AS (SELECT seq, count(DISTINCT hit_rank) AS n FROM hits GROUP BY seq), m AS (SELECT DISTINCT seq, answer FROM messages WHERE answer IS NOT NULL),
-  k AS (SELECT seq, coalesce(n, 0) AS n, list_transform(regexp_extract_all(answer, '\\[([0-9]{1,9})\\]', 1), lambda x: x::INT) AS l FROM m LEFT JOIN h USING (seq))
+  k AS (SELECT seq, coalesce(n, 0) AS n, list_transform(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda x: coalesce(try_cast(x AS BIGINT), 9223372036854775807)) AS l FROM m LEFT JOIN h USING (seq))
   SELECT seq, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i AND (x < 1 OR x > n)), ',') AS invalid FROM k""")
 def verify_citations(spark, d):
     return _answers(spark, d).select("seq", F.array_join(X.invalid_citations(F.col("answer"), F.col("n_hits")).cast("array<string>"), ",").alias("invalid"))
@@ -648,6 +703,12 @@ def routing_summary(spark, d):
     return evaluate.routing_summary(n.select(tier(3).alias("expected_tier"), tier(4).alias("tier"), "n_nodes"))
 
 
+@query("SELECT DISTINCT p.publisher AS query_id, d.doc_id AS id FROM documents d JOIN publishers p ON contains(regexp_replace(lower(d.text), '\\s+', '', 'g'), regexp_replace(lower(p.display_name), '\\s+', '', 'g')) OR contains(regexp_replace(lower(d.text), '\\s+', '', 'g'), lower(p.publisher))")
+def resolve_gold(spark, d):
+    q = table(spark, d, "publishers").select(F.col("publisher").alias("query_id"), F.array("display_name", "publisher").alias("needles"))
+    return evaluate.resolve_gold(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), q)
+
+
 @query("SELECT DISTINCT d.doc_id, p.publisher FROM documents d JOIN publishers p ON contains(regexp_replace(lower(d.text), '\\s+', '', 'g'), regexp_replace(lower(p.display_name), '\\s+', '', 'g'))")
 def needle_match(spark, d):
     """Every publisher's name in every text: the needles are the bounded reference list (200 rows), broadcast as such."""
@@ -697,32 +758,36 @@ def retrieve_corpus(spark, d):
 def _log(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_type")
     name = F.when(e == "signup", "enqueued").when(e == "click", "claimed").when(e == "purchase", "acked").otherwise(e)
-    return table(spark, d, "events").select(F.col("user_id").alias("task_id"), "ts", name.alias("event"))
-
-
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    """Only the log's first two days, as in the SQL of these queries; those named `log_*` read the whole log."""
-    return _log(spark, d).filter(F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz"))
+    # A task is what a user does on a day.
+    return table(spark, d, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("task_id"), "ts", name.alias("event"))
 
 
 @query("WITH {TASKS} SELECT task_id, state, attempts, last_ts FROM state")
 def task_state(spark, d):
-    return agents.task_state(_events(spark, d))
+    return agents.task_state(_log(spark, d))
 
 
-@query("WITH {TASKS} SELECT task_id, attempts FROM state WHERE state = 'inflight' AND last_ts <= TIMESTAMP '2024-01-03' - INTERVAL 5 SECOND")
+@query("WITH {TASKS} SELECT task_id, attempts FROM state WHERE state = 'inflight' AND last_ts <= (SELECT max(ts) FROM ev) - INTERVAL 5 SECOND")
 def reclaimable(spark, d):
-    return agents.reclaimable(agents.task_state(_events(spark, d)), F.lit("2024-01-03").cast("timestamp_ntz")).select("task_id", "attempts")
+    """What is idle when the log ends."""
+    ev = _log(spark, d)
+    return agents.reclaimable(agents.task_state(ev).crossJoin(ev.agg(F.max("ts").alias("now"))), F.col("now")).select("task_id", "attempts")
+
+
+@query("WITH {TASKS} SELECT task_id, 'worker-2' AS consumer, attempts + 1 AS attempts FROM state WHERE state = 'inflight' AND last_ts <= (SELECT max(ts) FROM ev) - INTERVAL 5 SECOND")
+def reclaim(spark, d):
+    ev = _log(spark, d)
+    return agents.reclaim(agents.task_state(ev).crossJoin(ev.agg(F.max("ts").alias("now"))), F.col("now"), "worker-2")
 
 
 @query("WITH {TASKS} SELECT task_id, attempts FROM state WHERE state = 'dead'")
 def dead_letter(spark, d):
-    return agents.task_state(_events(spark, d)).filter("state = 'dead'").select("task_id", "attempts")
+    return agents.task_state(_log(spark, d)).filter("state = 'dead'").select("task_id", "attempts")
 
 
 @query("WITH {TASKS} SELECT count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'inflight') AS inflight, count(*) FILTER (state = 'dead') AS dead, count(*) FILTER (state = 'done') AS done FROM state")
 def queue_stats(spark, d):
-    return agents.queue_stats(agents.task_state(_events(spark, d)))
+    return agents.queue_stats(agents.task_state(_log(spark, d)))
 
 
 @query("SELECT DISTINCT seq AS task_id FROM messages WHERE seq NOT IN (SELECT seq FROM verdicts)")
@@ -766,9 +831,23 @@ def dag_waves(spark, d):
     return agents.dag_waves(_dag(spark, d))
 
 
-@query("SELECT conversation_id AS run_id, count(DISTINCT seq) AS n_nodes, true AS valid FROM messages GROUP BY 1")
+def _partly_broken(spark: SparkSession, d: str) -> DataFrame:
+    """Plans of which those with a turn divisible by 11 depend on a node that isn't there, and those with one divisible by 13 are cycles."""
+    dag, n = _dag(spark, d), F.substring("node_id", 2, 20).cast("bigint")
+    return dag.withColumn("depends_on", F.when(n % 11 == 0, F.array_append("depends_on", "elsewhere")).when(n % 13 == 0, F.array_append("depends_on", F.col("node_id"))).otherwise(F.col("depends_on")))
+
+
+_BROKEN = "bool_and(seq % 11 <> 0 AND seq % 13 <> 0)"
+
+
+@query(f"SELECT conversation_id AS run_id, count(DISTINCT seq) AS n_nodes, {_BROKEN} AS valid FROM messages GROUP BY 1")
 def dag_valid(spark, d):
-    return agents.dag_valid(_dag(spark, d))
+    return agents.dag_valid(_partly_broken(spark, d))
+
+
+@query(f"WITH v AS (SELECT conversation_id AS run_id, {_BROKEN} AS valid FROM messages GROUP BY 1) SELECT run_id, 'answer' AS node_id FROM v WHERE NOT valid UNION ALL SELECT DISTINCT conversation_id, 'n' || seq FROM messages JOIN v ON run_id = conversation_id WHERE valid")
+def planned(spark, d):
+    return agents.planned(_partly_broken(spark, d)).select("run_id", "node_id")
 
 
 @query("WITH m AS (SELECT DISTINCT conversation_id, seq FROM messages) SELECT conversation_id AS run_id, seq AS position, 'n' || seq AS node_id, CASE WHEN seq IN (SELECT seq FROM verdicts) THEN 'done' ELSE 'failed' END AS status FROM m")
@@ -782,36 +861,6 @@ def plan_status(spark, d):
 @query("""WITH {TASKS}, l AS (SELECT task_id AS run_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS latest FROM ev GROUP BY 1), r AS (SELECT task_id AS run_id, count(*) AS n_results FROM ev WHERE event = 'acked' GROUP BY 1)
   SELECT run_id, n_events, first_ts, latest AS last_ts, coalesce(n_results, 0) AS n_results, state FROM l LEFT JOIN r USING (run_id) LEFT JOIN state ON task_id = run_id""")
 def run_view(spark, d):
-    ev = _events(spark, d)
-    runs = ev.withColumnRenamed("task_id", "run_id")
-    return agents.run_view(runs, runs.filter("event = 'acked'").select("run_id"), agents.task_state(ev))
-
-
-@query("WITH {LOG} SELECT task_id, state, attempts, last_ts FROM state")
-def log_task_state(spark, d):
-    return agents.task_state(_log(spark, d))
-
-
-@query("WITH {LOG} SELECT task_id, attempts FROM state WHERE state = 'inflight' AND last_ts <= (SELECT max(ts) FROM ev) - INTERVAL 5 SECOND")
-def log_reclaimable(spark, d):
-    ev = _log(spark, d)
-    now = ev.agg(F.max("ts").alias("now"))
-    return agents.reclaimable(agents.task_state(ev).crossJoin(now), F.col("now")).select("task_id", "attempts")
-
-
-@query("WITH {LOG} SELECT task_id, attempts FROM state WHERE state = 'dead'")
-def log_dead_letter(spark, d):
-    return agents.task_state(_log(spark, d)).filter("state = 'dead'").select("task_id", "attempts")
-
-
-@query("WITH {LOG} SELECT count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'inflight') AS inflight, count(*) FILTER (state = 'dead') AS dead, count(*) FILTER (state = 'done') AS done FROM state")
-def log_queue_stats(spark, d):
-    return agents.queue_stats(agents.task_state(_log(spark, d)))
-
-
-@query("""WITH {LOG}, l AS (SELECT task_id AS run_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS latest FROM ev GROUP BY 1), r AS (SELECT task_id AS run_id, count(*) AS n_results FROM ev WHERE event = 'acked' GROUP BY 1)
-  SELECT run_id, n_events, first_ts, latest AS last_ts, coalesce(n_results, 0) AS n_results, state FROM l LEFT JOIN r USING (run_id) LEFT JOIN state ON task_id = run_id""")
-def log_run_view(spark, d):
     ev = _log(spark, d)
     runs = ev.withColumnRenamed("task_id", "run_id")
     return agents.run_view(runs, runs.filter("event = 'acked'").select("run_id"), agents.task_state(ev))

@@ -17,10 +17,12 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only where none is named (tests, one machine) a folder of our own."""
+    """The shared folder the cluster names; a folder of our own only where there is one machine and none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="corvane-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
