@@ -528,7 +528,8 @@ def _continued(rows: DataFrame, lexicon) -> DataFrame:
 
 def find_noise(plans: DataFrame, chunks: DataFrame) -> DataFrame:
     """(item, page_no, line_no, noise): the spoiled lines, distinct."""
-    items = scan_items(plans, chunks)
+    # Items without a source are reports of their own: they have no next item, and don't meet in one task.
+    items = scan_items(plans, chunks).withColumn("source", F.coalesce("source", "item"))
     return _judged(items, items.sparkSession.sparkContext.broadcast(lexicon_of(items)))
 
 

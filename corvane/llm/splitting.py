@@ -37,8 +37,8 @@ _BOUNDARIES = tuple(
 )
 
 
-def bodies(text: str, most: int) -> list[int]:
-    """The starts of the pieces' bodies, each of at most `most` characters."""
+def bodies(text: str, most: int, least: int = 1) -> list[int]:
+    """The starts of the pieces' bodies, each of at most `most` and at least `least` characters; `most` is at least twice `least`."""
     if len(text) <= most:
         return [0]
     marks = [np.fromiter((m.end() for m in b.finditer(text)), np.int64) for b in _BOUNDARIES]
@@ -53,13 +53,13 @@ def bodies(text: str, most: int) -> list[int]:
         reach = max(1, (hi - lo) // 4)
         cut = 0
         for m in marks:
-            i, j = np.searchsorted(m, (max(lo + 1, middle - reach), min(hi - 1, middle + reach) + 1))
+            i, j = np.searchsorted(m, (max(lo + least, middle - reach), min(hi - least, middle + reach) + 1))
             if i < j:
                 cut = int(m[i:j][np.argmin(np.abs(m[i:j] - middle))])
                 break
         if not cut:
             cut = middle
-            while cut > lo + 1 and unicodedata.combining(text[cut]):
+            while cut > lo + least and unicodedata.combining(text[cut]):
                 cut -= 1
         todo += [(cut, hi), (lo, cut)]
     return starts
@@ -67,12 +67,12 @@ def bodies(text: str, most: int) -> list[int]:
 
 def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[str]:
     """The pieces of one text; each but the first starts with the last `overlap` characters of the one before."""
-    if limit <= 2 * overlap or overlap < 0:
-        raise ValueError("the limit must exceed twice the overlap")
+    if overlap < 0 or limit < max(3 * overlap, 1):
+        raise ValueError("the limit must be three times the overlap at least")
     if len(text) <= limit:
         return [text]
-    starts = bodies(text, limit - overlap)
-    # A body shorter than the overlap doesn't occur: halves are at least a quarter of more than limit - overlap.
+    # No body is shorter than the overlap, so the overlap is always the end of the one piece before.
+    starts = bodies(text, limit - overlap, max(1, overlap))
     return [text[max(0, a - (overlap if k else 0)) : b] for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(text)]))]
 
 
