@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import storage
+from corvane.functions import text
 from corvane.operators import agents, chunking, evaluate, grounding, ingest, search
 from corvane.plans.queries import QUERIES
 from corvane.sources import files
@@ -327,8 +329,8 @@ def test_groups_across_batches(spark):
 
 def test_log_queries_read_every_event(spark):
     events = table(spark, DATA, "events")
-    got = QUERIES["log_run_view"](spark, DATA).collect()
-    assert sum(r.n_events for r in got) == events.count() and len(got) == events.select("user_id").distinct().count()
+    got = QUERIES["run_view"](spark, DATA).collect()
+    assert sum(r.n_events for r in got) == events.count() and len(got) == events.select("user_id", F.dayofmonth("ts")).distinct().count()
 
 
 def test_ivf_searches_every_vector(spark):
@@ -338,3 +340,69 @@ def test_ivf_searches_every_vector(spark):
     assert {(r.query_id, r.rank) for r in got if r.id == r.query_id} == {(r.vec_id, 1) for r in v if r.vec_id % 20 == 0}
     recall = QUERIES["ivf_recall"](spark, DATA).head()
     assert recall.n_exact == 10 * len({r.query_id for r in got}) and recall.n_found > 0
+
+
+# ---------------------------------------------------------------- expansion, recovery, changes
+
+
+def test_expansion_keeps_to_the_section_and_skips_blank_texts(spark):
+    chunks = spark.createDataFrame([("s", 0, "a", "one"), ("s", 1, "", "one"), ("s", 2, "c", "one"), ("s", 3, "d", "two"), ("s", 5, "f", "two")], "source string, chunk_index int, text string, section string")
+    hits = spark.createDataFrame([(1, "h2", 1, "s", 2, "c"), (1, "h0", 2, "s", 0, "a"), (1, "h1", 3, "s", 1, ""), (1, "h5", 4, "s", 5, "f"), (1, "hx", 5, None, None, "x")], "query_id int, id string, rank int, source string, chunk_index int, text string")
+    assert rows(search.expand(hits, chunks).select("id", "text", "n_chunks")) == [("h0", "a", 1), ("h2", "c\n\nd", 3), ("h5", "f", 1), ("hx", "x", 1)]
+    assert rows(search.expand(hits, chunks, same_section=True).select("id", "text", "n_chunks")) == [("h0", "a", 1), ("h2", "c", 2), ("h5", "f", 1), ("hx", "x", 1)]
+    assert search.expand(hits.limit(0), chunks).count() == 0
+
+
+def test_recovered_lines(spark):
+    pages = [("s", 0, "Kept heading text", "Kept  heading\u2028A dropped   footnote here\r\n12 34\nA dropped footnote here"), ("s", 1, None, None)]
+    df = spark.createDataFrame(pages, "source string, page int, layout_text string, plain_text string")
+    assert rows(ingest.recover_dropped(df)) == [("s", 0, "A dropped footnote here"), ("s", 1, "")]
+
+
+def test_changes_of_files(spark):
+    library = spark.createDataFrame([("a", 0, "old a"), ("b", 0, "old b"), ("gone", 0, "old")], "source string, chunk_index int, text string")
+    state = spark.createDataFrame([("a", "1"), ("b", "1"), ("gone", "1")], "source string, content_hash string")
+    files = spark.createDataFrame([("a", "1", "new a"), ("b", "2", "new b"), ("c", "3", "new c"), ("d", "4", None)], "source string, content_hash string, text string")
+    cut = lambda f: chunking.chunk_text(f, "source")
+    chunks, after, outcome = ingest.apply_changes(library, state, files, cut)
+    assert rows(chunks) == [("a", 0, "old a"), ("b", 0, "new b"), ("c", 0, "new c"), ("gone", 0, "old")]
+    assert rows(outcome) == [("a", "unchanged"), ("b", "changed"), ("c", "new"), ("d", "failed")]
+    again = ingest.apply_changes(chunks, after, files, cut)
+    assert rows(again[0]) == rows(chunks) and {r.action for r in again[2].collect()} == {"unchanged", "failed"}
+
+
+def test_manifest_names_are_exact(spark):
+    files = spark.createDataFrame([("f/A.pdf", "f"), ("f/a.pdf", "f")], "source string, folder string")
+    m = spark.createDataFrame([("f", "x\\a.pdf", "p", 2020, 1, 1), ("f", "a.pdf", "q", 2021, 1, 2)], "folder string, filename string, publisher string, published_year int, manifest_id int, line_no int")
+    assert {r.source: r.publisher for r in ingest.manifest_join(files, m).collect()} == {"f/A.pdf": None, "f/a.pdf": "q"}
+
+
+def test_conversations_grow_and_are_renamed(spark):
+    m = spark.createDataFrame([(3, "c", "q", 1)], "seq bigint, conversation_id string, question string, created_at int")
+    t = spark.createDataFrame([("c", "later", 9), ("c", "next", 5), ("n", "first", 1)], "conversation_id string, question string, created_at int")
+    assert rows(agents.append_turns(m, t).select("conversation_id", "seq", "question")) == [("c", 3, "q"), ("c", 4, "next"), ("c", 5, "later"), ("n", 1, "first")]
+    c = spark.createDataFrame([("c", "old", "me"), ("d", "old", None)], "conversation_id string, title string, owner_id string")
+    assert rows(agents.rename_conversation(c, "c", "new")) == [("c", "new", "me"), ("d", "old", None)]
+    assert agents.owned(c, "me").count() == 1 and agents.owned(c, None).count() == 2
+    kept, left = agents.delete_conversation(c, m, "c")
+    assert [r.conversation_id for r in kept.collect()] == ["d"] and left.count() == 0
+
+
+def test_citations_of_any_length(spark):
+    df = spark.createDataFrame([("a [1] [12345678901] [99999999999999999999]", 2)], "answer string, n_hits int")
+    assert df.select(text.invalid_citations(F.col("answer"), F.col("n_hits")).alias("x")).head()["x"] == [12345678901, 2**63 - 1]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session())
