@@ -93,29 +93,43 @@ def load(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return headers, records
 
 
-def _kind(value: Column) -> dict[str, Column]:
-    return {
-        "integers": value.rlike(r"^[+-]?\d+$"),
-        "decimals": value.rlike(r"^[+-]?(\d+|\d*\.\d+)$"),
-        "dates": value.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).isNotNull(),
-        "urls": value.rlike(r"^(?i)https?://\S+$"),
-        "digests": value.rlike(r"^(?i)[0-9a-f]{64}$"),
-        "hosts": value.rlike(r"^(?i)[a-z0-9-]+(\.[a-z0-9-]+)+$") & ~value.rlike(r"(?i)\.(pdf|md|txt|docx?|html?|csv)$") & value.rlike("[a-zA-Z]"),
-        "files": value.rlike(r"(?i)\.(pdf|md|txt|docx?|html?|csv)$") & ~value.rlike(r"^(?i)https?://"),
-    }
+def raw_type(value: Column) -> Column:
+    """The type that one value shows; the first that fits."""
+    return (
+        F.when(value.rlike(r"^[+-]?\d+$"), "integer")
+        .when(value.rlike(r"^[+-]?\d*\.\d+$"), "decimal")
+        .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).isNotNull(), "date")
+        .when(value.rlike(r"^(?i)https?://\S+$"), "url")
+        .when(value.rlike(r"^(?i)[0-9a-f]{64}$"), "digest")
+        .when(value.rlike(r"(?i)\.(pdf|md|txt|docx?|html?|csv)$"), "file")
+        .when(value.rlike(r"^(?i)[a-z0-9-]+(\.[a-z0-9-]+)+$"), "host")
+        .otherwise("text")
+    )
+
+
+def path_values(records: DataFrame) -> DataFrame:
+    """(manifest_id, line_no, values): each record as a map from path to raw value; a path is the column's place and header.
+
+    Short rows lack their last paths, surplus cells have none, blank values are absent.
+    """
+    n = F.least(F.size("names"), F.size("cells"))
+    path = F.transform(F.slice("names", F.lit(1), n), lambda name, i: F.concat(i.cast("string"), F.lit("/"), name))
+    values = F.map_from_arrays(path, F.transform(F.slice("cells", F.lit(1), n), _bare))
+    return records.select("manifest_id", "line_no", F.map_filter(values, lambda _, v: v != "").alias("values"))
 
 
 def path_types(lines: DataFrame) -> DataFrame:
-    """One row per file and column: position, header, field, type (null without values) and counts of values by type."""
+    """One row per file and path: position, header, field, type (null without values) and number of values.
+
+    The statistics are counts by file, path and raw type, combined before their shuffle.
+    """
     headers, records = load(lines)
-    counts = (
-        records.select("manifest_id", F.posexplode("cells").alias("pos", "value"), F.size("names").alias("n"))
-        .filter(F.col("pos") < F.col("n"))
-        .withColumn("value", _bare(F.col("value")))
-        .filter("value <> ''")
-        .groupBy("manifest_id", "pos")
-        .agg(F.count("*").alias("n_values"), *[F.sum(c.cast("bigint")).alias(k) for k, c in _kind(F.col("value")).items()])
-    )
+    typed = path_values(records).select("manifest_id", F.explode("values").alias("path", "value")).select("manifest_id", "path", raw_type(F.col("value")).alias("t"))
+    of = lambda *types: F.count_if(F.col("t").isin(*types))
+    counts = typed.groupBy("manifest_id", "path").agg(
+        F.count("*").alias("n_values"), of("integer").alias("integers"), of("integer", "decimal").alias("decimals"), of("date").alias("dates"), of("url").alias("urls"),
+        of("digest").alias("digests"), of("host").alias("hosts"), of("file").alias("files"),
+    ).withColumn("pos", F.substring_index("path", "/", 1).cast("int"))
     columns = headers.select("manifest_id", F.posexplode("headers").alias("pos", "header")).withColumn("name", F.lower("header")).join(counts, ["manifest_id", "pos"], "left")
     known = F.create_map(*[F.lit(x) for field, names in ALIASES.items() for alias in (field, *names) for x in (alias, field)])
     every = lambda k: F.col(k) == F.col("n_values")
