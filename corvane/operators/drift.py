@@ -71,7 +71,7 @@ def _distinct(df: DataFrame, *names: str) -> DataFrame:
 
 
 def load(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(headers, records): headers have (manifest_id, delimiter, header_line_no, names); records (manifest_id, line_no, cells).
+    """(headers, records): headers have (manifest_id, delimiter, header_line_no, names, paths); records (manifest_id, line_no, paths, cells).
 
     The header of a file is found by a partial minimum per file, so only one small row of a file travels.
     """
@@ -82,13 +82,14 @@ def load(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         first.select("manifest_id", F.col("h.line_no").alias("header_line_no"), delimiter.alias("delimiter"), F.regexp_replace(F.col("h.line_text"), _BOM, "").alias("t"))
         .select("manifest_id", "header_line_no", "delimiter", F.transform(cells(F.col("t"), F.col("delimiter")), lambda x: _bare(x)).alias("headers"))
         .withColumn("names", F.transform("headers", lambda x: F.lower(x)))
+        .withColumn("paths", F.transform("names", lambda name, i: F.concat(i.cast("string"), F.lit("/"), name)))
     )
     records = (
         rows.join(headers, "manifest_id")
         .filter(F.col("line_no") > F.col("header_line_no"))
         .withColumn("cells", cells(F.regexp_replace(F.col("line_text"), _BOM, ""), F.col("delimiter")))
         .filter(F.transform("cells", lambda x: F.lower(_bare(x))) != F.col("names"))
-        .select("manifest_id", "line_no", "names", "cells")
+        .select("manifest_id", "line_no", "paths", "cells")
     )
     return headers, records
 
@@ -110,12 +111,10 @@ def raw_type(value: Column) -> Column:
 def path_values(records: DataFrame) -> DataFrame:
     """(manifest_id, line_no, values): each record as a map from path to raw value; a path is the column's place and header.
 
-    Short rows lack their last paths, surplus cells have none, blank values are absent.
+    Short rows lack their last paths, surplus cells have none.
     """
-    n = F.least(F.size("names"), F.size("cells"))
-    path = F.transform(F.slice("names", F.lit(1), n), lambda name, i: F.concat(i.cast("string"), F.lit("/"), name))
-    values = F.map_from_arrays(path, F.transform(F.slice("cells", F.lit(1), n), _bare))
-    return records.select("manifest_id", "line_no", F.map_filter(values, lambda _, v: v != "").alias("values"))
+    n = F.least(F.size("paths"), F.size("cells"))
+    return records.select("manifest_id", "line_no", F.map_from_arrays(F.slice("paths", F.lit(1), n), F.slice("cells", F.lit(1), n)).alias("values"))
 
 
 def path_types(lines: DataFrame) -> DataFrame:
@@ -124,7 +123,8 @@ def path_types(lines: DataFrame) -> DataFrame:
     The statistics are counts by file, path and raw type, combined before their shuffle.
     """
     headers, records = load(lines)
-    typed = path_values(records).select("manifest_id", F.explode("values").alias("path", "value")).select("manifest_id", "path", raw_type(F.col("value")).alias("t"))
+    values = path_values(records).select("manifest_id", F.explode("values").alias("path", "value")).withColumn("value", _bare(F.col("value"))).filter("value <> ''")
+    typed = values.select("manifest_id", "path", raw_type(F.col("value")).alias("t"))
     of = lambda *types: F.count_if(F.col("t").isin(*types))
     counts = typed.groupBy("manifest_id", "path").agg(
         F.count("*").alias("n_values"), of("integer").alias("integers"), of("integer", "decimal").alias("decimals"), of("date").alias("dates"), of("url").alias("urls"),
