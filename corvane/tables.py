@@ -13,7 +13,8 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores, where a few large row groups would leave half of them idle; else the scan as it is.
 
-    A large table has more splits than the cluster has cores and is never moved.
+    A table with more splits than half the cores is left where it is; one with fewer is small beside the cluster, and its rows,
+    texts included, are dealt out once.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
