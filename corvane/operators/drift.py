@@ -125,9 +125,10 @@ def path_types(lines: DataFrame) -> DataFrame:
     headers, records = load(lines)
     values = path_values(records).select("manifest_id", F.explode("values").alias("path", "value")).withColumn("value", _bare(F.col("value"))).filter("value <> ''")
     typed = values.select("manifest_id", "path", raw_type(F.col("value")).alias("t"))
-    of = lambda *types: F.count_if(F.col("t").isin(*types))
-    counts = typed.groupBy("manifest_id", "path").agg(
-        F.count("*").alias("n_values"), of("integer").alias("integers"), of("integer", "decimal").alias("decimals"), of("date").alias("dates"), of("url").alias("urls"),
+    by_type = typed.groupBy("manifest_id", "path", "t").agg(F.count("*").alias("n"))
+    of = lambda *types: F.sum(F.when(F.col("t").isin(*types), F.col("n")).otherwise(0))
+    counts = by_type.groupBy("manifest_id", "path").agg(
+        F.sum("n").alias("n_values"), of("integer").alias("integers"), of("integer", "decimal").alias("decimals"), of("date").alias("dates"), of("url").alias("urls"),
         of("digest").alias("digests"), of("host").alias("hosts"), of("file").alias("files"),
     ).withColumn("pos", F.substring_index("path", "/", 1).cast("int"))
     columns = headers.select("manifest_id", F.posexplode("headers").alias("pos", "header")).withColumn("name", F.lower("header")).join(counts, ["manifest_id", "pos"], "left")
